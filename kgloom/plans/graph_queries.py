@@ -1,3 +1,510 @@
-"""Queries of the text-to-graph operators."""
-QUERIES = {}
-ORACLES = {}
+"""Queries of the text-to-graph operators and their SQL counterparts (DuckDB)."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kgloom.functions import text as X
+from kgloom.operators import evaluate, extract, graph, learn, link, relations
+from kgloom.packs import rules as R
+from kgloom.sources import table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+PRIORITY = {r: len(R.PREFERRED) - i for i, r in enumerate(R.PREFERRED)}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+    return add
+
+
+def _t(s: SparkSession, d: str, n: str) -> DataFrame:
+    return table(s, d, n)
+
+
+# ---- SQL building blocks ----
+_BL = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BL}+|{_BL}+$', '', 'g')"
+
+
+def _sent(tbl: str = "documents", key: str = "doc_id, source_file") -> str:
+    return f"""
+    _raw AS (SELECT DISTINCT {key}, regexp_extract_all(text, '[^。！？!?;；\\n]*[。！？!?;；\\n]|[^。！？!?;；\\n]+$') arr FROM {tbl} WHERE text IS NOT NULL),
+    _parts AS (SELECT {key}, unnest(arr) x, unnest(range(len(arr))) pos FROM _raw),
+    _off AS (SELECT {key}, x, pos, coalesce(sum(length(x)) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) s_start FROM _parts),
+    s AS (SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1 AS INT) sent_idx, CAST(s_start AS INT) s_start, CAST(s_start + length(x) AS INT) s_end, {_strip('x')} sent
+          FROM _off WHERE {_strip('x')} <> '')"""
+
+
+def _starts(c: str, ws: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with({c}, '{w}')" for w in ws) + ")"
+
+
+def _ends(c: str, ws: list[str]) -> str:
+    return "(" + " OR ".join(f"ends_with({c}, '{w}')" for w in ws) + ")"
+
+
+def _has(c: str, ws: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+
+
+def _in(ws: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+
+
+def _clean(c: str) -> str:
+    t = _strip(c)
+    return f"""(CASE WHEN {c} IS NULL OR length({t}) < 2 OR length({t}) > 60 THEN false WHEN {_has(t, R.ROLE_CUES)} AND NOT {_starts(t, R.TITLE_STARTS)} THEN false WHEN {t} IN {_in(R.STOP + R.GENERIC)} THEN false
+    WHEN {_starts(t, R.BAD_STARTS)} THEN false WHEN {_ends(t, R.BAD_ENDS)} THEN false WHEN regexp_matches({t}, '[\\[\\]{{}}<>"、。，；：！？“”‘’（）()'']') THEN false WHEN regexp_matches({t}, '^[0-9]+$') THEN false
+    WHEN regexp_matches({t}, '^[A-Z][A-Z0-9&.\\-]{{1,15}}$') THEN true WHEN length({t}) > 10 AND regexp_matches({t}, '{R.LONG_LINKS}') THEN false WHEN length({t}) > 12 AND regexp_matches({t}, '{R.LONG_LETTERS}') THEN false
+    WHEN length({t}) <= 4 AND regexp_matches({t}, '^[在于对被把将从向因]') THEN false ELSE true END)"""
+
+
+_LATIN = "'^[A-Z][A-Za-z]+(?:[ .''\\-][A-Z][A-Za-z]+){0,4}$'"
+_ACR = "'^[A-Z][A-Z0-9&.\\-]{1,15}$'"
+
+
+def _label(c: str) -> str:
+    return f"""(CASE WHEN NOT {_clean(c)} THEN NULL WHEN regexp_matches({c}, {_ACR}) THEN 'ORG' WHEN {_starts(c, R.TITLE_STARTS)} OR (starts_with({c}, '《') AND ends_with({c}, '》')) THEN 'PROD' WHEN {_ends(c, R.PROD_ENDS)} THEN 'PROD'
+    WHEN {_ends(c, R.ORG_ENDS)} THEN 'ORG' WHEN {_ends(c, R.LOC_ENDS)} THEN 'LOC' WHEN contains({c}, '·') OR regexp_matches({c}, {_LATIN}) THEN 'PER' END)"""
+
+
+def _plaus(c: str, lab: str) -> str:
+    return f"""({_clean(c)} AND CASE {lab} WHEN 'PER' THEN NOT regexp_matches({c}, {_ACR}) AND (contains({c}, '·') OR regexp_matches({c}, {_LATIN}) OR regexp_matches({c}, '^[一-鿿]{{2,4}}$')) WHEN 'ORG' THEN regexp_matches({c}, {_ACR}) OR {_ends(c, R.ORG_ENDS)}
+    WHEN 'LOC' THEN {_ends(c, R.LOC_ENDS)} OR regexp_matches({c}, '^[一-鿿]{{2,8}}$') WHEN 'PROD' THEN length({c}) >= 2 ELSE true END)"""
+
+
+_M = """m AS (SELECT DISTINCT mention_id, source_file, mention, entity_type, start, "end", CASE WHEN upper(trim(entity_id)) NOT IN ('', 'NIL') THEN upper(trim(entity_id)) END eid, coalesce(link_score, 0) score, source
+    FROM linked_mentions WHERE start IS NOT NULL AND "end" IS NOT NULL AND source_file IS NOT NULL)"""
+_SM = f"WITH {_sent()}, {_M}, sm AS (SELECT m.*, s.doc_id, s.sent_idx, s.s_start, s.s_end, s.sent FROM m JOIN s ON m.source_file = s.source_file AND m.start >= s.s_start AND m.\"end\" <= s.s_end), " \
+      "r AS (SELECT *, row_number() OVER (PARTITION BY source_file, sent_idx ORDER BY start, \"end\", mention_id) rn FROM sm)"
+_RULES = "rules(rule_idx, relation_id, alias, head_types, tail_types) AS (VALUES " + ", ".join(
+    f"({i}, '{r}', '{a}', {h.split(',')}, {t.split(',')})" for i, (r, a, h, t) in enumerate(R.RULES)) + ")"
+_PAIRS = """p AS (SELECT a.source_file, a.sent_idx, a.mention_id h_id, a.mention h, a.entity_type h_type, b.mention_id t_id, b.mention t, b.entity_type t_type, b.start - a."end" gap,
+    substring(a.sent, a."end" - a.s_start + 1, b.start - a."end") "between" FROM r a JOIN r b ON a.source_file = b.source_file AND a.sent_idx = b.sent_idx AND b.rn - a.rn BETWEEN 1 AND 6 AND b.start - a."end" BETWEEN 0 AND 64)"""
+_TRIG = "tr AS (SELECT s.source_file, s.sent_idx, s.s_start, rule_idx, relation_id, alias, head_types, tail_types, unnest(list_filter(range(length(sent) - length(alias) + 1), lambda i: substring(sent, CAST(i + 1 AS INT), length(alias)) = alias)) pos FROM s JOIN rules ON contains(sent, alias))"
+_WIN = f"""{_SM}, {_RULES}, {_TRIG}, j AS (SELECT tr.*, r.mention_id, r.mention, r.entity_type, r.eid, r.score, r.rn, r.start - tr.s_start ls, r."end" - tr.s_start le, tr.pos + length(alias) stop FROM tr JOIN r ON tr.source_file = r.source_file AND tr.sent_idx = r.sent_idx),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source_file, sent_idx, rule_idx, pos ORDER BY (list_contains(head_types, entity_type) AND le <= pos) DESC, (eid IS NOT NULL) DESC, round(score, 6) DESC, pos - le, length(mention) DESC, rn) lr,
+       row_number() OVER (PARTITION BY source_file, sent_idx, rule_idx, pos ORDER BY (list_contains(tail_types, entity_type) AND ls >= stop) DESC, (eid IS NOT NULL) DESC, round(score, 6) DESC, ls - stop, length(mention) DESC, rn) rr FROM j WHERE entity_type IS NOT NULL),
+    w AS (SELECT source_file, sent_idx, rule_idx, relation_id, alias, pos, max(mention_id) FILTER (WHERE lr = 1 AND list_contains(head_types, entity_type) AND le <= pos) head_id, max(mention_id) FILTER (WHERE rr = 1 AND list_contains(tail_types, entity_type) AND ls >= stop) tail_id FROM k GROUP BY ALL)"""
+_E = """e AS (SELECT *, coalesce(head_id, head) hk, coalesce(tail_id, tail) tk FROM (SELECT DISTINCT triple_id, head, CASE WHEN upper(trim(head_id)) NOT IN ('', 'NIL') THEN upper(trim(head_id)) END head_id, relation, tail,
+    CASE WHEN upper(trim(tail_id)) NOT IN ('', 'NIL') THEN upper(trim(tail_id)) END tail_id, confidence, source, sentence FROM triples))"""
+_G = f"WITH {_E}, simple AS (SELECT hk, tk, arg_max(relation, triple_id) relation, count(*) n_parallel FROM e WHERE hk <> tk GROUP BY hk, tk), deg AS (SELECT node, count(*) degree FROM (SELECT hk node FROM simple UNION ALL SELECT tk FROM simple) GROUP BY node)"
+
+
+def _sm(s, d):
+    return relations.in_sentences(_t(s, d, "documents").select("source_file", "text"), relations.clean_mentions(_t(s, d, "linked_mentions")))
+
+
+def _s(s, d):
+    return X.sentences(_t(s, d, "documents"), "source_file")
+
+
+def _e(s, d):
+    return relations.edges(_t(s, d, "triples"))
+
+
+# ---- text to mentions ----
+@query(f"""WITH {_sent()}, x AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(sent, '[A-Z][a-z]+(?: [A-Z][a-z]+){{1,3}}'), lambda v: {{'label': 'PER', 'name': v}}),
+  list_transform(regexp_extract_all(sent, '[一-鿿]{{1,5}}(?:·[一-鿿]{{1,8}}){{1,2}}'), lambda v: {{'label': 'PER', 'name': v}}), list_transform(regexp_extract_all(sent, '[A-Z][A-Z0-9&.\\-]{{1,15}}'), lambda v: {{'label': 'ORG', 'name': v}}))) u FROM s)
+  SELECT u.label label, u.name name, count(*) n_mentions, count(DISTINCT doc_id) n_docs FROM x WHERE {_clean('u.name')} GROUP BY ALL""")
+def mention_frequency(s, d):
+    """Names mentioned, how often, in how many documents."""
+    m = extract.pattern_mentions(X.sentences(_t(s, d, "documents"), "doc_id"), "doc_id")
+    return m.groupBy("label", "name").agg(F.count("*").alias("n_mentions"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {_sent()} SELECT doc_id, sent_idx, s_start, s_end, sent FROM s")
+def sentence_split(s, d):
+    """C1, J1."""
+    return X.sentences(_t(s, d, "documents"), "doc_id")
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_strip('x')} x, pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) x, unnest(range(len(string_split(text, chr(10))))) pos FROM documents WHERE text IS NOT NULL)),
+  h AS (SELECT *, x <> '' AND length(x) <= 20 AND NOT regexp_matches(x, '[，。！？；：“”"''（）()]') hd FROM l), g AS (SELECT *, sum(CASE WHEN hd THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) sec FROM h),
+  t AS (SELECT doc_id, sec, coalesce(max(x) FILTER (WHERE hd), '全文') title, string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE NOT hd AND x <> '') body FROM g GROUP BY doc_id, sec)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INT) sec_idx, title, body FROM t WHERE body IS NOT NULL""")
+def section_detect(s, d):
+    """C2."""
+    return X.sections(_t(s, d, "documents"), "doc_id")
+
+
+@query(f"SELECT mention, {_clean('mention')} keep FROM (SELECT DISTINCT mention FROM linked_mentions WHERE mention IS NOT NULL)")
+def clean_entity_filter(s, d):
+    """C4, C8."""
+    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.clean_entity(F.col("mention")).alias("keep"))
+
+
+@query(f"SELECT entity, entity_type, {_plaus('entity', 'entity_type')} plausible, {_label('entity')} inferred FROM (SELECT DISTINCT entity, entity_type FROM input_entities WHERE entity IS NOT NULL)")
+def label_infer(s, d):
+    """C6, C7, C16."""
+    return _t(s, d, "input_entities").select("entity", "entity_type").where("entity IS NOT NULL").distinct().select(
+        "entity", "entity_type", X.plausible(F.col("entity"), F.col("entity_type")).alias("plausible"), X.infer_label(F.col("entity")).alias("inferred"))
+
+
+@query()
+def normal_terms(s, d):
+    """Tested against a loop to the fixed point."""
+    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.normal_term(F.col("mention")).alias("term"))
+
+
+@query(f"SELECT DISTINCT {_strip('x')} AS name, type AS label FROM (SELECT unnest(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) x, type FROM kb) WHERE length({_strip('x')}) >= 2")
+def kb_lexicon(s, d):
+    """D1, D10, D11."""
+    return extract.kb_lexicon(_t(s, d, "kb"))
+
+
+@query("""SELECT doc_id, unnest(regexp_extract_all(text, '《([^》]{2,80})》|“([^”]{2,80})”', 0)) AS quoted FROM documents WHERE text IS NOT NULL""")
+def quoted_titles(s, d):
+    """D2, D15."""
+    return _t(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("《([^》]{2,80})》|“([^”]{2,80})”"), F.lit(0))).alias("quoted"))
+
+
+_LEX = f"lex AS (SELECT DISTINCT {_strip('x')} AS name, type AS label FROM (SELECT unnest(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) x, type FROM kb) WHERE length({_strip('x')}) >= 2 AND length({_strip('x')}) <= 64)"
+_DICT = f"{_LEX}, tx AS (SELECT DISTINCT sample_id, text FROM ner_train WHERE text IS NOT NULL), dict AS (SELECT sample_id, CAST(i AS INT) AS start, CAST(i + length(name) AS INT) AS \"end\", label, name AS text FROM (SELECT sample_id, name, label, unnest(list_filter(range(length(text) - length(name) + 1), lambda i: substring(text, CAST(i + 1 AS INT), length(name)) = name)) i FROM tx JOIN lex ON contains(text, name)))"
+
+
+@query(f"WITH {_DICT} SELECT * FROM dict")
+def dict_extract(s, d):
+    """D12, E1."""
+    return extract.dict_extract(_t(s, d, "ner_train"), extract.kb_lexicon(_t(s, d, "kb")), "sample_id")
+
+
+@query()
+def merge_spans(s, d):
+    """Dictionary and labelled spans to non-overlapping ones; tested against a plain loop."""
+    t = _t(s, d, "ner_train")
+    a = extract.dict_extract(t, extract.kb_lexicon(_t(s, d, "kb")), "sample_id").withColumn("source", F.lit("kb_dict")).withColumn("prio", F.lit(3))
+    g = evaluate.gold_spans(t).join(t.select("sample_id", F.col("text").alias("whole")).distinct(), "sample_id").select("sample_id", "start", "end", "label", F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit("ner").alias("source"), F.lit(0).alias("prio"))
+    return extract.merge_spans(a.unionByName(g), "sample_id")
+
+
+@query(f"""WITH {_DICT} SELECT g.sample_id, g.start g_start, g."end" g_end, g.label g_label, d.start d_start, d."end" d_end, d.label d_label FROM (SELECT DISTINCT sample_id, e.start AS start, e."end" AS "end", e.label AS label FROM (SELECT sample_id, unnest(entities) e FROM ner_train)) g
+  JOIN dict d ON g.sample_id = d.sample_id AND g.start < d."end" AND d.start < g."end" """)
+def overlap_detect(s, d):
+    """C12."""
+    t = _t(s, d, "ner_train")
+    g = evaluate.gold_spans(t).toDF("sample_id", "g_start", "g_end", "g_label")
+    x = extract.dict_extract(t, extract.kb_lexicon(_t(s, d, "kb")), "sample_id").select("sample_id", F.col("start").alias("d_start"), F.col("end").alias("d_end"), F.col("label").alias("d_label"))
+    return g.join(x, "sample_id").where("g_start < d_end AND d_start < g_end")
+
+
+# ---- linking ----
+_DOCS = "kbr AS (SELECT entity_id, min({'names': list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL), 'type': type}) m FROM kb WHERE len(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) > 0 GROUP BY entity_id)"
+
+
+def _grams(src: str, key: str, col: str, out: str) -> str:
+    return f"""{out} AS (SELECT {key}, gram, count(*) tf FROM (SELECT {key}, substring(t, CAST(i AS INT), n) gram, n, length(t) l, i FROM (SELECT {key}, t, n, unnest(range(1, length(t) - n + 2)) i FROM (SELECT {key}, regexp_replace(lower({col}), '\\s\\s+', ' ', 'g') t FROM {src}) a, (VALUES (1), (2), (3)) v(n) WHERE t <> '' AND length(t) >= n)) GROUP BY {key}, gram)"""
+
+
+_IDF = f"WITH {_DOCS}, d AS (SELECT entity_id, array_to_string(m.names, ' ') doc FROM kbr), {_grams('d', 'entity_id', 'doc', 'g')}, i AS (SELECT gram, count(*) df, ln((1 + (SELECT count(DISTINCT entity_id) FROM g)) / (1 + count(*))) + 1 idf FROM g GROUP BY gram)"
+
+
+@query(_IDF + " SELECT gram, df, round(idf, 6) idf FROM i")
+def char_tfidf_idf(s, d):
+    """F1."""
+    return link.idf(link.grams(link.kb_rows(_t(s, d, "kb")), "entity_id", "doc"), "entity_id").select("gram", "df", F.round("idf", 6).alias("idf"))
+
+
+def _names(s, d):
+    return _t(s, d, "nodes").select(X.strip(F.col("name")).alias("q")).where("q <> ''").distinct()
+
+
+@query(_IDF + f""", q0 AS (SELECT DISTINCT {_strip('name')} q FROM nodes WHERE {_strip('name')} <> ''), {_grams('q0', 'q', 'q', 'qg')},
+  dw0 AS (SELECT entity_id, gram, tf * idf w FROM g JOIN i USING (gram)), dw AS (SELECT entity_id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) w FROM dw0),
+  qw0 AS (SELECT q, gram, tf * idf w FROM qg JOIN i USING (gram)), qw AS (SELECT q, gram, w / sqrt(sum(w * w) OVER (PARTITION BY q)) w FROM qw0),
+  sim AS (SELECT q, entity_id, round(sum(qw.w * dw.w), 6) sim FROM qw JOIN dw USING (gram) GROUP BY q, entity_id)
+  SELECT q, entity_id, round(sim, 4) sim, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, entity_id DESC) AS INT) AS "rank" FROM sim QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, entity_id DESC) <= 3""")
+def tfidf_cosine_topk(s, d):
+    """F2, E3, H4."""
+    return link.candidates(_names(s, d), link.kb_rows(_t(s, d, "kb")), 3).select("q", "entity_id", F.round("sim", 4).alias("sim"), "rank")
+
+
+@query()
+def link_accept(s, d):
+    """Surface similarity is no SQL function; tested against difflib on a fixture."""
+    return link.link(_names(s, d), link.kb_rows(_t(s, d, "kb")))
+
+
+@query(f"""WITH {_M} SELECT source_file, coalesce(eid, mention) entity_key, count(*) mention_count, arg_min(mention, {{'a': start, 'b': mention_id}}) main_entity, arg_min(entity_type, {{'a': start, 'b': mention_id}}) entity_type,
+  array_to_string(list_sort(list(DISTINCT mention)), ' | ') mentions, round(avg(score), 8) avg_score FROM m GROUP BY ALL HAVING count(*) > 1 OR round(avg(score), 8) >= 0.3""")
+def entity_group_having(s, d):
+    """G1-G3, N2."""
+    return extract.group_entities(relations.clean_mentions(_t(s, d, "linked_mentions")))
+
+
+@query("SELECT entity_id, name, type, added_at FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY side DESC, added_at DESC) r FROM (SELECT DISTINCT entity_id, name, type, added_at, 0 side FROM kb UNION ALL SELECT DISTINCT node_id, name, type, created_at, 1 FROM nodes WHERE node_id NOT LIKE 'MENTION::%')) WHERE r = 1")
+def kb_upsert(s, d):
+    """E16."""
+    n = _t(s, d, "nodes").where("node_id NOT LIKE 'MENTION::%'").select(F.col("node_id").alias("entity_id"), "name", "type", F.col("created_at").alias("added_at")).distinct()
+    return link.upsert(_t(s, d, "kb").select("entity_id", "name", "type", "added_at").distinct(), n, "entity_id", "added_at")
+
+
+# ---- sentences, pairs, triggers ----
+@query(_SM + ' SELECT source_file, sent_idx, mention_id, CAST(rn AS INT) rn FROM r')
+def sentence_mentions(s, d):
+    """E4."""
+    return relations.ranked(_sm(s, d)).select("source_file", "sent_idx", "mention_id", "rn")
+
+
+@query(f"WITH {_RULES} SELECT doc_id, relation_id, alias FROM documents JOIN rules ON contains(text, alias)")
+def active_rules(s, d):
+    """D18."""
+    return _t(s, d, "documents").select("doc_id", "text").join(F.broadcast(R.rules(s)), F.contains(F.col("text"), F.col("alias"))).select("doc_id", "relation_id", "alias")
+
+
+@query(f"{_SM}, {_PAIRS} SELECT source_file, sent_idx, h_id, t_id, gap, \"between\" FROM p")
+def pair_generate(s, d):
+    """E6, E10, E11."""
+    return relations.pairs(_sm(s, d)).select("source_file", "sent_idx", "h_id", "t_id", "gap", "between")
+
+
+@query(f"{_SM}, {_PAIRS}, {_RULES} SELECT source_file, sent_idx, h_id, t_id, relation_id, arg_min(alias, rule_idx) alias, min(h) h, min(t) t FROM p JOIN rules ON list_contains(head_types, h_type) AND list_contains(tail_types, t_type) AND contains(\"between\", alias) GROUP BY source_file, sent_idx, h_id, t_id, relation_id")
+def pair_rule_match(s, d):
+    """E7, K3, K4."""
+    return relations.pair_rules(relations.pairs(_sm(s, d)), R.rules(s))
+
+
+@query(f"{_WIN} SELECT source_file, sent_idx, CAST(rule_idx AS INT) rule_idx, relation_id, alias, CAST(pos AS INT) pos, head_id, tail_id FROM w WHERE head_id IS NOT NULL AND tail_id IS NOT NULL")
+def trigger_window_best(s, d):
+    """E8, K1, C21."""
+    return relations.trigger_window(_s(s, d), _sm(s, d), R.rules(s))
+
+
+@query(f"""{_SM}, {_RULES}, {_TRIG}, j AS (SELECT tr.*, r.mention_id, r.rn, r.start - tr.s_start ls, r."end" - tr.s_start le, tr.pos + length(alias) stop FROM tr JOIN r ON tr.source_file = r.source_file AND tr.sent_idx = r.sent_idx)
+  SELECT source_file, sent_idx, CAST(rule_idx AS INT) rule_idx, alias, CAST(pos AS INT) pos, arg_max(mention_id, {{'a': le, 'b': -rn}}) FILTER (WHERE le <= pos) before_id, arg_max(mention_id, {{'a': -ls, 'b': -rn}}) FILTER (WHERE ls >= stop) after_id FROM j GROUP BY source_file, sent_idx, rule_idx, alias, pos""")
+def nearest_before_after(s, d):
+    """E9, K2's anchors."""
+    return relations.nearest(_s(s, d), _sm(s, d), R.rules(s))
+
+
+_SUBJ = f"""{_SM}, sub AS (SELECT source_file, sent_idx, mention_id subject_id FROM (SELECT *, row_number() OVER (PARTITION BY source_file, sent_idx ORDER BY (eid IS NOT NULL) DESC, round(score, 6) DESC, length(mention) DESC, start, mention_id) k FROM sm WHERE entity_type = 'PER') WHERE k = 1),
+  c AS (SELECT s.source_file, s.sent_idx, regexp_matches(sent, '^[0-9一二三四五六七八九十年月日\\s,，.:：]*[他她其]') pronoun, subject_id, last_value(subject_id IGNORE NULLS) OVER (PARTITION BY s.source_file ORDER BY s.sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) carried_id FROM s LEFT JOIN sub ON s.source_file = sub.source_file AND s.sent_idx = sub.sent_idx)"""
+
+
+@query(f"{_SUBJ} SELECT *, CASE WHEN pronoun THEN coalesce(carried_id, subject_id) ELSE coalesce(subject_id, carried_id) END effective_id FROM c")
+def subject_carry_forward(s, d):
+    """G5, J3-J5, C14, C15."""
+    return relations.carried_subjects(_s(s, d), _sm(s, d))
+
+
+@query(f"""WITH {_M}, g AS (SELECT source_file, coalesce(eid, mention) person, count(*) n, max(CAST(eid IS NOT NULL AS INT)) linked, max(round(score, 6)) best, max(length(mention)) l FROM m WHERE entity_type = 'PER' GROUP BY ALL)
+  SELECT source_file, person, n, linked, best FROM g QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY n DESC, linked DESC, best DESC, l DESC, person) = 1""")
+def dominant_person(s, d):
+    """G4, H7."""
+    return relations.dominant_person(relations.clean_mentions(_t(s, d, "linked_mentions")))
+
+
+@query(f"""{_WIN}, f AS (SELECT * FROM w WHERE head_id IS NOT NULL AND tail_id IS NOT NULL), st AS (SELECT source_file, sent_idx, max(tail_id) place_id FROM f WHERE relation_id = 'R_STUDIED_AT' GROUP BY ALL), nm AS (SELECT DISTINCT source_file, sent_idx, true named FROM f WHERE relation_id = 'R_GRADUATED_FROM'),
+  z AS (SELECT s.source_file, s.sent_idx, s.sent, nm.named, last_value(place_id IGNORE NULLS) OVER (PARTITION BY s.source_file ORDER BY s.sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) last_id FROM s LEFT JOIN st USING (source_file, sent_idx) LEFT JOIN nm USING (source_file, sent_idx))
+  SELECT source_file, sent_idx, last_id place_id FROM z WHERE regexp_matches(sent, '毕业|graduated') AND named IS NULL AND last_id IS NOT NULL""")
+def study_state_carry(s, d):
+    """J6, K5."""
+    return relations.last_study(_s(s, d), relations.trigger_window(_s(s, d), _sm(s, d), R.rules(s)))
+
+
+# ---- edges and graph ----
+_ECOLS = ("triple_id", "hk", "relation", "tk", "confidence")
+
+
+def _first_sql(keys: str, order: str, where: str = "true") -> str:
+    return f"WITH {_E} SELECT triple_id, hk, relation, tk, confidence FROM e WHERE {where} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {order}) = 1"
+
+
+@query(_first_sql("hk, tk, relation, sentence", "triple_id", "hk <> tk"))
+def edge_dedup_exact(s, d):
+    """G6, K7."""
+    return relations.dedup_exact(_e(s, d)).select(*_ECOLS)
+
+
+@query(_first_sql("hk, tk, relation", "confidence DESC, triple_id"))
+def edge_best_confidence(s, d):
+    """G7."""
+    return relations.best_confidence(_e(s, d)).select(*_ECOLS)
+
+
+@query(_first_sql("head, tail, relation", "(tail_id IS NOT NULL) DESC, confidence DESC, triple_id"))
+def edge_text_dedup(s, d):
+    """G8."""
+    return relations.dedup_text(_e(s, d)).select(*_ECOLS)
+
+
+@query(f"WITH {_E} SELECT triple_id, hk, relation, tk, confidence FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.relation = e.relation AND o.sentence = e.sentence AND o.hk = e.hk AND contains(o.tail, e.tail) AND length(o.tail) > length(e.tail))")
+def edge_subsumption_prune(s, d):
+    """E15."""
+    return relations.prune_subsumed(_e(s, d)).select(*_ECOLS)
+
+
+@query(f"WITH {_E}, x AS (SELECT coalesce(head_id, 'MENTION::' || head) node_id, head AS name, triple_id * 2 ord FROM e UNION ALL SELECT coalesce(tail_id, 'MENTION::' || tail), tail, triple_id * 2 + 1 FROM e) SELECT node_id, arg_min(name, ord) AS name, count(*) n_ends FROM x WHERE node_id IS NOT NULL GROUP BY node_id")
+def node_distinct(s, d):
+    """G9, M1."""
+    return graph.nodes_of(_e(s, d))
+
+
+@query(f"WITH {_E}, n AS (SELECT DISTINCT upper(trim(node_id)) node_id, name, type FROM nodes WHERE node_id IS NOT NULL) SELECT * FROM n WHERE node_id IN (SELECT hk FROM e WHERE hk <> tk UNION SELECT tk FROM e WHERE hk <> tk)")
+def node_semijoin(s, d):
+    """E14, M2, B3."""
+    return graph.active_nodes(_t(s, d, "nodes"), _e(s, d))
+
+
+@query(f"WITH {_E} SELECT relation, count(*) n_edges, round(avg(confidence), 6) avg_confidence FROM e GROUP BY relation")
+def relation_distribution(s, d):
+    """G10, B6."""
+    return _e(s, d).groupBy("relation").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+_PR = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " ELSE 0 END"
+_ORD = "priority DESC, confidence DESC, (head_id IS NOT NULL) DESC, (tail_id IS NOT NULL) DESC, length(head), length(tail), triple_id"
+
+
+@query(f"""WITH {_E}, p AS (SELECT *, {_PR} priority FROM e), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY head, relation, tail ORDER BY {_ORD}) = 1), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY relation ORDER BY {_ORD}) <= 3)
+  SELECT triple_id, head, relation, tail, confidence, source FROM c ORDER BY {_ORD} LIMIT 20""")
+def submission_topk(s, d):
+    """A top-k report."""
+    return graph.submission(_e(s, d), PRIORITY)
+
+
+@query(_G + " SELECT * FROM simple")
+def parallel_edges(s, d):
+    """M3."""
+    return graph.simple_edges(_e(s, d))
+
+
+@query(_G + " SELECT * FROM deg")
+def graph_degree(s, d):
+    """G14."""
+    return graph.degrees(graph.simple_edges(_e(s, d)))
+
+
+_BFS = _G.replace("WITH ", "WITH RECURSIVE ", 1) + """, adj AS (SELECT hk a, tk b FROM simple UNION SELECT tk, hk FROM simple), bfs(node, dist) AS (SELECT * FROM (SELECT node, 0 FROM deg ORDER BY degree DESC, node LIMIT 1) UNION SELECT adj.b, dist + 1 FROM bfs JOIN adj ON adj.a = bfs.node WHERE dist < 3), dd AS (SELECT node, min(dist) dist FROM bfs GROUP BY node)"""
+
+
+def _dist(s, d):
+    simple = graph.simple_edges(_e(s, d))
+    deg = graph.degrees(simple)
+    return graph.distances(simple, graph.hub(deg), 3), deg
+
+
+@query(_BFS + " SELECT node, dist FROM dd")
+def bfs_distance(s, d):
+    """M4: up to three hops from the hub."""
+    return _dist(s, d)[0]
+
+
+@query(_BFS + """, k AS (SELECT node, dist, degree, row_number() OVER (PARTITION BY dist ORDER BY degree DESC, node) - 1 i FROM dd JOIN deg USING (node))
+  SELECT node, dist, degree, round((dist * 10 + floor(i / 8) * 2) * cos((i % 8) * (2 * 3.141592653589793 / 8)), 6) + 0.0 x, round((dist * 10 + floor(i / 8) * 2) * sin((i % 8) * (2 * 3.141592653589793 / 8)), 6) + 0.0 y FROM k""")
+def radial_layout(s, d):
+    """M5, J8, B7's table."""
+    return graph.layout(*_dist(s, d))
+
+
+# ---- measures ----
+_GOLD = 'gold AS (SELECT DISTINCT sample_id, e.start AS start, e."end" AS "end", e.label AS label FROM (SELECT sample_id, unnest(entities) e FROM ner_train)), pred AS (SELECT DISTINCT sample_id, start, "end", label FROM dict)'
+
+
+def _gp(s, d):
+    t = _t(s, d, "ner_train")
+    return evaluate.gold_spans(t), extract.dict_extract(t, extract.kb_lexicon(_t(s, d, "kb")), "sample_id")
+
+
+@query(f"""WITH {_DICT}, {_GOLD}, j AS (SELECT coalesce(g.label, p.label) label, g.sample_id g, p.sample_id p FROM gold g FULL JOIN pred p ON g.sample_id = p.sample_id AND g.start = p.start AND g."end" = p."end" AND g.label = p.label),
+  a AS (SELECT label, count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) tp, count(*) FILTER (WHERE g IS NULL) fp, count(*) FILTER (WHERE p IS NULL) fn FROM j GROUP BY label)
+  SELECT label, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) f1 FROM a""")
+def ner_prf(s, d):
+    """G11, E17, I1, L2."""
+    return evaluate.prf(*_gp(s, d), "label")
+
+
+@query(f"""WITH {_DICT}, {_GOLD}, miss AS (SELECT * FROM gold EXCEPT SELECT * FROM pred), spur AS (SELECT * FROM pred EXCEPT SELECT * FROM gold), o AS (SELECT m.*, s.start s_start, s."end" s_end, s.label s_label FROM miss m JOIN spur s ON m.sample_id = s.sample_id AND m.start < s."end" AND s.start < m."end"),
+  l AS (SELECT label FROM miss UNION SELECT label FROM spur) SELECT l.label, (SELECT count(*) FROM miss WHERE label = l.label) missed, (SELECT count(*) FROM spur WHERE label = l.label) spurious,
+  (SELECT count(*) FROM (SELECT DISTINCT sample_id, start, "end" FROM o WHERE label = l.label AND s_label = l.label)) boundary, (SELECT count(*) FROM (SELECT DISTINCT sample_id, start, "end" FROM o WHERE label = l.label AND s_label <> l.label AND start = s_start AND "end" = s_end)) "type" FROM l""")
+def error_breakdown(s, d):
+    """G13, I2, H8, B9."""
+    return evaluate.span_errors(*_gp(s, d))
+
+
+_RL = " ".join(f"WHEN contains(text, '{a}') THEN '{r[2:]}'" for r, a, _, _ in R.RULES)
+
+
+@query(f"""WITH q AS (SELECT DISTINCT sample_id, label gold, CASE {_RL} ELSE 'NO_REL' END pred FROM re_train WHERE text IS NOT NULL AND label IS NOT NULL), g AS (SELECT gold label, count(*) support, count(*) FILTER (WHERE gold = pred) tp FROM q GROUP BY gold), p AS (SELECT pred label, count(*) n_pred FROM q GROUP BY pred),
+  j AS (SELECT coalesce(g.label, p.label) label, coalesce(support, 0) support, coalesce(tp, 0) tp, coalesce(n_pred, 0) n_pred FROM g FULL JOIN p ON g.label = p.label)
+  SELECT label, support, round(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END, 6) "precision", round(CASE WHEN support > 0 THEN tp / support ELSE 0 END, 6) recall, round(CASE WHEN n_pred + support > 0 THEN 2 * tp / (n_pred + support) ELSE 0 END, 6) f1 FROM j""")
+def re_metrics(s, d):
+    """First trigger met in the text as prediction."""
+    pred = F.lit("NO_REL")
+    for r, a, _, _ in reversed(R.RULES):
+        pred = F.when(F.contains(F.col("text"), F.lit(a)), r[2:]).otherwise(pred)
+    return evaluate.label_metrics(_t(s, d, "re_train").where("text IS NOT NULL AND label IS NOT NULL").select("sample_id", F.col("label").alias("gold"), pred.alias("pred")).distinct())
+
+
+@query("""WITH t AS (SELECT DISTINCT sample_id, text, entities FROM ner_train WHERE length(text) > 0), c AS (SELECT sample_id, text, entities, unnest(range(length(text))) i FROM t)
+  SELECT sample_id, CAST(i AS INT) i, coalesce(list_reduce(list_concat(['O'], list_transform(list_filter(coalesce(entities, []), lambda x: x.start >= 0 AND x."end" <= length(text) AND x.start < x."end" AND i >= x.start AND i < x."end"), lambda x: CASE WHEN i = x.start THEN 'B-' ELSE 'I-' END || x.label)), lambda a, b: b), 'O') tag FROM c""")
+def bio_encode(s, d):
+    """C19."""
+    return _t(s, d, "ner_train").where("length(text) > 0").select("sample_id", "text", "entities").distinct().select("sample_id", F.posexplode(X.bio_tags(F.col("text"), F.col("entities"))).alias("i", "tag"))
+
+
+@query("""WITH e AS (SELECT DISTINCT sample_id, x.start AS start, x."end" AS "end", x.label AS label, length(text) n FROM (SELECT sample_id, text, unnest(entities) x FROM ner_train)) SELECT sample_id, start, "end", label FROM e WHERE start >= 0 AND "end" <= n AND start < "end"
+  AND NOT EXISTS (SELECT 1 FROM e o WHERE o.sample_id = e.sample_id AND o.start < e."end" AND e.start < o."end" AND (o.start, o."end", o.label) <> (e.start, e."end", e.label))""")
+def bio_decode(s, d):
+    """C20: decoding gives the encoded spans back (they do not overlap)."""
+    return evaluate.decode_bio(bio_encode(s, d))
+
+
+@query("""WITH t AS (SELECT DISTINCT sample_id, text FROM re_train WHERE length(text) > 0), c AS (SELECT sample_id, unnest(string_split(text, '')) ch, unnest(range(length(text))) i FROM t)
+  SELECT sample_id, CAST(i AS INT) i, ch, regexp_matches(ch, '^[0-9]$') digit, regexp_matches(ch, '^[A-Z]$') "upper", regexp_matches(ch, '^[a-z]$') "lower", lag(ch, 1) OVER w c_1, lag(ch, 2) OVER w c_2, lead(ch, 1) OVER w c1, lead(ch, 2) OVER w c2, lag(i) OVER w IS NULL bos, lead(i) OVER w IS NULL eos FROM c WINDOW w AS (PARTITION BY sample_id ORDER BY i)""")
+def char_features(s, d):
+    """C18."""
+    return evaluate.char_features(_t(s, d, "re_train").where("length(text) > 0").select("sample_id", "text").distinct(), "sample_id")
+
+
+def _mark_sql() -> str:
+    put = lambda t, at, m: f"(substring({t}, 1, {at}) || '{m}' || substring({t}, {at} + 1))"
+    a = put(put(put(put("text", 'tail."end"', "</T>"), "tail.start", "<T>"), 'head."end"', "</H>"), "head.start", "<H>")
+    b = put(put(put(put("text", 'head."end"', "</H>"), "head.start", "<H>"), 'tail."end"', "</T>"), "tail.start", "<T>")
+    return f"SELECT DISTINCT sample_id, CASE WHEN head.start <= tail.start THEN {a} ELSE {b} END marked FROM re_train WHERE text IS NOT NULL AND head IS NOT NULL AND tail IS NOT NULL"
+
+
+@query(_mark_sql())
+def mark_entities(s, d):
+    """C17."""
+    return _t(s, d, "re_train").where("text IS NOT NULL AND head IS NOT NULL AND tail IS NOT NULL").select("sample_id", X.mark_entities(F.col("text"), F.col("head"), F.col("tail")).alias("marked")).distinct()
+
+
+@query("SELECT DISTINCT unnest(['B-' || e.label, 'I-' || e.label]) tag FROM (SELECT unnest(entities) e FROM ner_train) UNION SELECT 'O'")
+def label_vocabulary(s, d):
+    """G15, I4."""
+    e = _t(s, d, "ner_train").select(F.explode("entities").alias("e")).select(F.explode(F.array(F.concat(F.lit("B-"), "e.label"), F.concat(F.lit("I-"), "e.label"))).alias("tag"))
+    return e.unionByName(s.createDataFrame([("O",)], "tag STRING")).distinct()
+
+
+@query()
+def relation_classifier(s, d):
+    """Fitted on a bounded sample of re_train, applied to the held-out records; tested by held-out accuracy."""
+    ev = _t(s, d, "eval_samples").where("task = 're'").select("sample_id", "text", "head", "tail", "label")
+    return learn.relation_classifier(_t(s, d, "re_train"), ev)
+
+
+@query()
+def ner_tagger(s, d):
+    """Fitted on a bounded sample of ner_train, applied to the held-out records; tested by held-out F1."""
+    return learn.tag(_t(s, d, "eval_samples").where("task = 'ner'"), learn.fit_tagger(_t(s, d, "ner_train"), rows=120, epochs=2))
+
+
+@query()
+def open_relations(s, d):
+    """Trigger and pair producers united, the best edge of each (head, relation, tail) kept, sentence by sentence."""
+    sm, rules = _sm(s, d), R.rules(s)
+    key = sm.select("mention_id", F.coalesce("eid", "mention").alias("k")).distinct()
+    w = relations.trigger_window(_s(s, d), sm, rules).select("source_file", "sent_idx", "relation_id", F.col("head_id").alias("h_id"), F.col("tail_id").alias("t_id"), F.lit(0.97).alias("confidence"), F.lit("trigger_window").alias("producer"))
+    p = relations.pair_rules(relations.pairs(sm), rules).select("source_file", "sent_idx", "relation_id", "h_id", "t_id", F.lit(0.93).alias("confidence"), F.lit("pattern").alias("producer"))
+    u = w.unionByName(p).join(key.toDF("h_id", "hk"), "h_id").join(key.toDF("t_id", "tk"), "t_id").where("hk <> tk")
+    return u.groupBy("hk", "relation_id", "tk").agg(F.max("confidence").alias("confidence"), F.max_by("producer", "confidence").alias("producer"), F.count("*").alias("n_evidence"), F.count_distinct("source_file").alias("n_docs"))
