@@ -14,16 +14,25 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{R.BLANKS}]+|[{R.BLANKS}]+$", "")
 
 
+def _alt(words: list[str]) -> str:
+    return "(?:" + "|".join("".join("\\" + c if c in ".*+?()[]{}|^$\\" else c for c in w) for w in words) + ")"
+
+
 def any_start(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, w: a | c.startswith(w), words, F.lit(False))
+    return c.rlike("^" + _alt(words))
 
 
 def any_end(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, w: a | c.endswith(w), words, F.lit(False))
+    return c.rlike(_alt(words) + "\\z")
 
 
 def any_in(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, w: a | c.contains(w), words, F.lit(False))
+    return c.rlike(_alt(words))
+
+
+def once(c: Column, f) -> Column:
+    """``f`` of a value worked out once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
 
 
 def sentences(docs: DataFrame, *keys: str) -> DataFrame:
@@ -56,7 +65,10 @@ def sections(docs: DataFrame, *keys: str) -> DataFrame:
 
 def clean_entity(c: Column) -> Column:
     """Whether a string may be an entity: the ordered rejects of the pack; an acronym is accepted before the long-text rejects."""
-    t = strip(c)
+    return once(strip(c), _clean)
+
+
+def _clean(t: Column) -> Column:
     n = F.length(t)
     acronym = t.rlike(r"^[A-Z][A-Z0-9&.\-]{1,15}$")
     return (F.when(t.isNull() | (n < 2) | (n > 60), False).when(any_in(t, R.ROLE_CUES) & ~any_start(t, R.TITLE_STARTS), False).when(t.isin(R.STOP + R.GENERIC), False)
@@ -68,10 +80,10 @@ def normal_term(c: Column, rounds: int = 8) -> Column:
     """Strips context words at both ends until nothing changes, at most ``rounds`` times (more than two affixes at an end are rare, eight deep unseen)."""
     starts, ends = "|".join(R.AFFIX_STARTS), "|".join(R.AFFIX_ENDS)
 
-    def once(x: Column) -> Column:
+    def cut(x: Column) -> Column:
         return strip(F.regexp_replace(F.regexp_replace(x, f"^(?:{starts})(?=[\\s\\S]{{2,}})", ""), f"(?<=[\\s\\S]{{2}})(?:{ends})$", ""))
     t = F.regexp_replace(strip(c), "^[，。；：！？、“”‘’（）()\\[\\]{}<>\"' ]+|[，。；：！？、“”‘’（）()\\[\\]{}<>\"' ]+$", "")
-    return F.aggregate(F.array_repeat(F.lit(0), rounds), t, lambda a, _: once(a))
+    return F.aggregate(F.array_repeat(F.lit(0), rounds), t, lambda a, _: cut(a))
 
 
 def plausible(c: Column, label: Column) -> Column:

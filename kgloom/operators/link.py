@@ -49,18 +49,33 @@ def candidates(queries: DataFrame, kb: DataFrame, top: int = 5, n: int = 3) -> D
     return sim.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), F.desc("entity_id")))).where(F.col("rank") <= top)
 
 
+def context_scores(pairs: DataFrame, docs: DataFrame, kb: DataFrame, n: int = 2) -> DataFrame:
+    """(doc_id, entity_id, context): cosine of a whole document and the name-and-description text of the records asked for.
+
+    Only the pairs given are scored: records' weights join the pairs, then the document's weights; no document meets all records.
+    """
+    k = kb.select("entity_id", F.concat_ws(" ", "name", "description").alias("doc")).groupBy("entity_id").agg(F.min("doc").alias("doc"))
+    kg = grams(k, "entity_id", "doc", n)
+    i = idf(kg, "entity_id")
+    dw, tw = weights(kg, i, "entity_id"), weights(grams(docs, "doc_id", "text", n), i, "doc_id").withColumnRenamed("w", "v")
+    j = pairs.select("doc_id", "entity_id").distinct().join(dw, "entity_id").join(tw, ["doc_id", "gram"])
+    return j.groupBy("doc_id", "entity_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("context"))
+
+
 def _surface(q: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([max((1.0 if a == b else SequenceMatcher(None, a, b).ratio() for b in bs), default=0.0) for a, bs in zip(q, names)])
 
 
-def link(queries: DataFrame, kb: DataFrame, top: int = 5, least: float = 0.45) -> DataFrame:
+def link(queries: DataFrame, kb: DataFrame, top: int = 5, least: float = 0.45, context: DataFrame | None = None) -> DataFrame:
     """(q, entity_id, score, accepted): candidates reranked by surface similarity, and whether the best one is accepted.
 
     Accepted: score of at least ``least`` and some spelling equal, or one containing the other with at most one extra
     character, or similar from 0.85 with lengths at most one apart. Only ``top`` pairs a query reach Python.
+    score = 0.65 surface + 0.35 context; ``context`` (q, entity_id, context) may be given, else the name cosine stands for it.
     """
     c = candidates(queries, kb, top).join(kb.select("entity_id", "names"), "entity_id")
-    c = c.withColumn("surface", F.pandas_udf(_surface, T.DoubleType())("q", "names")).withColumn("score", F.round(0.65 * F.col("surface") + 0.35 * F.col("sim"), 6))
+    c = c.withColumn("context", F.col("sim")) if context is None else c.join(context.select("q", "entity_id", "context"), ["q", "entity_id"], "left").na.fill(0.0, ["context"])
+    c = c.withColumn("surface", F.pandas_udf(_surface, T.DoubleType())("q", "names")).withColumn("score", F.round(0.65 * F.col("surface") + 0.35 * F.col("context"), 6))
     one = c.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rank"))).where("r = 1")
     near = F.exists("names", lambda a: (a == F.col("q")) | ((F.contains(F.col("q"), a) | F.contains(a, F.col("q"))) & (F.abs(F.length(a) - F.length("q")) <= 1)))
     alike = (F.col("surface") >= 0.85) & F.exists("names", lambda a: F.abs(F.length(a) - F.length("q")) <= 1)
