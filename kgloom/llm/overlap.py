@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from kgloom.llm.lookalike import consistent
 
-# n: words in a shingle. hit: share of an evaluation record's shingles a training record must hold to be compared; low, as one
-# typing error breaks five shingles. same: letter-trigram similarity from which both are one record.
-N, HIT, SAME = 5, 0.35, 0.68
+# n: words in a shingle. hit: share of an evaluation record's shingles from which a training record is compared for certain (the rarest
+# 1 - hit of them are looked up; records sharing less are compared too if any of those is shared). same: letter-trigram
+# similarity from which both are one record.
+N, HIT, SAME = 5, 0.8, 0.68
 # Frequent traditional forms and their simplified ones
 TRADITIONAL = """於于 後后 記记 員员 設设 誤误 關关 書书 開开 個个 計计 這这 學学 實实 驗验 證证 錄录 觀观 數数 議议 鄰邻 從从 門门 測测 會会 師师 習习 報报 據据 進进 對对 時时 來来 為为 與与 動动
 國国 過过 發发 經经 說说 長长 兩两 樣样 點点 體体 間间 機机 種种 應应 內内 無无 現现 電电 論论 題题 業业 頁页 單单 場场 協协 傳传 號号 係系 幾几 問问 聽听 讀读 寫写 畫画 圖图 館馆 園园 庫库 鐵铁 鐘钟 錶表 紙纸
@@ -82,9 +83,9 @@ def overlaps(train: DataFrame, evals: DataFrame, n: int = N, hit: float = HIT, s
     rare = eg.join(df, ["task", "h"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
     rare = rare.where((F.col("df") > 0) & (F.col("rank") <= F.floor((1 - hit) * F.col("size")) + 1)).select("task", "h", F.col("cls").alias("e"))
     hits = tg.join(rare, ["task", "h"]).groupBy("task", "cls", "e").agg(F.count("*").alias("n"))
-    both = (hits.join(tc.select("task", "cls", F.col("letters").alias("tl"), F.col("grams").alias("tg")), ["task", "cls"])
-            .join(ec.select("task", F.col("cls").alias("e"), F.col("letters").alias("el"), F.col("grams").alias("eg")), ["task", "e"]))
-    both = both.where(F.size(F.array_intersect("tg", "eg")) >= hit * F.size("eg"))
+    both = (hits.join(tc.select("task", "cls", F.col("letters").alias("tl")), ["task", "cls"]).join(ec.select("task", F.col("cls").alias("e"), F.col("letters").alias("el")), ["task", "e"]))
+    # lengths too far apart cannot be similar enough: trigrams are at most as many as letters, repeats aside
+    both = both.where(F.least(F.length("tl"), F.length("el")) >= 0.8 * same * F.greatest(F.length("tl"), F.length("el")))
     both = both.select("task", "cls", "e", trigrams("tl").alias("a"), trigrams("el").alias("b")).withColumn("i", F.size(F.array_intersect("a", "b")))
     both = both.where(F.col("i") >= same * F.greatest(F.size("a"), F.size("b"))).select("task", "cls", "e", (F.col("i") / F.size("b")).alias("containment"))
     return (both.join(tm.withColumnRenamed("id", "train_id"), ["task", "cls"]).join(em.select("task", F.col("cls").alias("e"), F.col("id").alias("eval_id")), ["task", "e"])
