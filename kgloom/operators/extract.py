@@ -55,7 +55,7 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
     lap = lambda a, b: (a.start < b.end) & (b.start < a.end)
     kept = F.aggregate("all", F.slice(F.col("all"), 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: (k.start == x.start) & (k.end == x.end) & (k.label == x.label)), acc)
                        .when(F.forall(F.filter(acc, lambda k: lap(k, x)), lambda k: x["rank"] > k["rank"]), F.array_append(F.filter(acc, lambda k: ~lap(k, x)), x)).otherwise(acc))
-    return per.select(key, F.explode(kept).alias("k")).select(key, "k.start", "k.end", "k.label", "k.text", "k.source")
+    return per.select(key, F.explode(kept).alias("_kept")).select(key, *[F.col(f"_kept.{c}").alias(c) for c in ("start", "end", "label", "text", "source")])
 
 
 def group_entities(m: DataFrame) -> DataFrame:
