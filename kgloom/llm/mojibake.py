@@ -193,7 +193,7 @@ _CAPS = "".join(c for c in _SOUND_ACCENTS if c.isupper()) + "ÆÅØÂÃÊËÎÏ
 _COMMON_HAN = "".join(c for r in range(0xB0, 0xD8) for x in range(0xA1, 0xFF) if (c := bytes([r, x]).decode("gb2312", "ignore")))
 _SOUND = re.escape("".join(_FINE_PUNCT)) + _SOUND_ACCENTS + _COMMON_HAN + "\x00-\x7fЀ-ӿͰ-Ͽ！-～⼀-⿕豈-\ufaff̀-ͯ\U0001f300-\U0001faff"
 # a look worth taking: a character that sound text hardly holds (rare ideographs only where three stand close), or a capital inside a Cyrillic word
-_ODD = re.compile(f"[^{_SOUND}㐀-䶿一-鿿]|(?:[^{_SOUND}].?){{3}}|[а-я][А-Я]|[РСГВЄІЇ][°±ІіґµЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈ¤Ґ¦§©Є«¬®Ї¶·№є»јЅѕї]|[А-ЯЁ]{{2}}[а-яё]|[A-Za-z][{_CAPS}][a-z]")
+_ODD = re.compile(f"[^{_SOUND}㐀-䶿一-鿿]|(?:[^{_SOUND}].?){{3}}|[а-я][А-Я]|[РСГВЄІЇ][°±ІіґµЂЃ‚ѓ„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈ¤Ґ¦§©Є«¬®Ї¶·№є»јЅѕї]|[А-ЯЁ]{{2}}[а-яё]|‚[ÄÅÇ]|[A-Za-z][{_CAPS}][a-z]")
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
