@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgloom.llm.lookalike import consistent
+from kgloom.sources.writers import materialise
 
 # n: words in a shingle. hit: share of an evaluation record's shingles from which a training record is compared for certain (the rarest
 # 1 - hit of them are looked up; records sharing less are compared too if any of those is shared). same: letter-trigram
@@ -53,19 +54,23 @@ def words_udf(texts: pd.Series) -> pd.Series:
 
 
 def classes(df: DataFrame, key: str, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """Membership (task, id, cls) and one row per class (task, cls, letters, grams); texts without words are left out.
+    """Membership (task, id, cls) and one row per class (task, cls, tri, grams), written once to the shared folder; texts without words are left out.
 
     A text of fewer words than a shingle is one shingle.
     """
     w = df.select("task", F.col(key).alias("id"), "text").where("text IS NOT NULL").distinct().withColumn("w", words_udf("text")).where("w <> ''").withColumn("cls", F.xxhash64("w"))
+    w = materialise(w.select("task", "id", "cls", "w"), "words")
     one = w.select("task", "cls", "w").dropDuplicates(["task", "cls"]).withColumn("ws", F.split("w", " "))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " "))))
-    return w.select("task", "id", "cls").distinct(), one.select("task", "cls", F.regexp_replace("w", " ", "").alias("letters"), grams.alias("grams"))
+    one = one.select("task", "cls", trigrams(F.regexp_replace("w", " ", "")).alias("tri"), grams.alias("grams"))
+    return w.select("task", "id", "cls").distinct(), materialise(one, "classes")
 
 
 def trigrams(c):
-    """Distinct letter trigrams; a text of one or two letters is its own."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
+    """Hashes of the distinct letter trigrams; a text of one or two letters is its own. The letters are split once, so a long text costs its length."""
+    def of(a):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(a) - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(a, i, 3), "")))
+    return F.array_distinct(F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), of)[0])
 
 
 def overlaps(train: DataFrame, evals: DataFrame, n: int = N, hit: float = HIT, same: float = SAME) -> DataFrame:
@@ -83,10 +88,9 @@ def overlaps(train: DataFrame, evals: DataFrame, n: int = N, hit: float = HIT, s
     rare = eg.join(df, ["task", "h"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
     rare = rare.where((F.col("df") > 0) & (F.col("rank") <= F.floor((1 - hit) * F.col("size")) + 1)).select("task", "h", F.col("cls").alias("e"))
     hits = tg.join(rare, ["task", "h"]).groupBy("task", "cls", "e").agg(F.count("*").alias("n"))
-    both = (hits.join(tc.select("task", "cls", F.col("letters").alias("tl")), ["task", "cls"]).join(ec.select("task", F.col("cls").alias("e"), F.col("letters").alias("el")), ["task", "e"]))
-    # lengths too far apart cannot be similar enough: trigrams are at most as many as letters, repeats aside
-    both = both.where(F.least(F.length("tl"), F.length("el")) >= 0.8 * same * F.greatest(F.length("tl"), F.length("el")))
-    both = both.select("task", "cls", "e", trigrams("tl").alias("a"), trigrams("el").alias("b")).withColumn("i", F.size(F.array_intersect("a", "b")))
+    both = (hits.join(tc.select("task", "cls", F.col("tri").alias("a")), ["task", "cls"]).join(ec.select("task", F.col("cls").alias("e"), F.col("tri").alias("b")), ["task", "e"]))
+    both = both.where(F.least(F.size("a"), F.size("b")) >= same * F.greatest(F.size("a"), F.size("b")))  # sizes too far apart cannot be similar enough
+    both = both.withColumn("i", F.size(F.array_intersect("a", "b")))
     both = both.where(F.col("i") >= same * F.greatest(F.size("a"), F.size("b"))).select("task", "cls", "e", (F.col("i") / F.size("b")).alias("containment"))
     return (both.join(tm.withColumnRenamed("id", "train_id"), ["task", "cls"]).join(em.select("task", F.col("cls").alias("e"), F.col("id").alias("eval_id")), ["task", "e"])
             .select("task", "train_id", "eval_id", "containment"))
