@@ -2,12 +2,13 @@
 
 Records are brought to words (an ideograph or a run of other letters and digits is one word) after one
 consistent writing: width, case, accents, look-alikes, traditional forms, bracketed note marks and
-punctuation do not count. The evaluation side's five-word n-gram hashes are the index: of each
-evaluation record only its rarest hashes are looked up, so many that a training record
-containing the wanted share of the record must hold one of them (nothing is lost, and hashes of
-stock phrases never meet). The training texts are scanned for hits and every hit pair is verified by the
-containment of the evaluation record in the training record and the reverse, on letter trigrams,
-which survive typing errors that break word n-grams.
+punctuation do not count. Two records are the same if their letter trigrams agree to ``SAME`` of the larger
+set; trigrams survive typing errors that break word n-grams. Every such pair is found: training and evaluation
+records are parted into blocks, each pair of blocks meets in one task. There, with all trigrams in one order, a
+pair that similar shares at least ``COMMON`` of the first size - ceil(same * size) + COMMON on either side (the
+COMMON-th shared one has ceil(same * size) - COMMON shared ones behind it). Only these prefixes are looked up, rare
+trigrams first, so stock phrases seldom meet; pairs with enough hits are compared in full. No pair is shuffled
+before it is accepted.
 
 Copies of a text form one class on either side; classes are compared, ids only appended.
 """
@@ -16,18 +17,18 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgloom.llm.lookalike import consistent
 from kgloom.sources.writers import materialise
 
-# n: words in a shingle. hit: share of an evaluation record's shingles from which a training record is compared for certain (the rarest
-# 1 - hit of them are looked up; records sharing less are compared too if any of those is shared). same: letter-trigram
-# similarity from which both are one record.
-N, HIT, SAME = 5, 0.8, 0.68
+# same: letter-trigram similarity from which both are one record. common: shared prefix trigrams asked for; changes the work, not the result.
+# train_block, eval_block: records of a block, which bound a task's memory; they change the work, not the result.
+SAME, COMMON, TRAIN_BLOCK, EVAL_BLOCK = 0.68, 24, 4096, 8192
 # Frequent traditional forms and their simplified ones
 TRADITIONAL = """於于 後后 記记 員员 設设 誤误 關关 書书 開开 個个 計计 這这 學学 實实 驗验 證证 錄录 觀观 數数 議议 鄰邻 從从 門门 測测 會会 師师 習习 報报 據据 進进 對对 時时 來来 為为 與与 動动
 國国 過过 發发 經经 說说 長长 兩两 樣样 點点 體体 間间 機机 種种 應应 內内 無无 現现 電电 論论 題题 業业 頁页 單单 場场 協协 傳传 號号 係系 幾几 問问 聽听 讀读 寫写 畫画 圖图 館馆 園园 庫库 鐵铁 鐘钟 錶表 紙纸
@@ -53,16 +54,11 @@ def words_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([words(x if isinstance(x, str) else None) for x in texts], dtype=object)
 
 
-def classes(df: DataFrame, key: str, n: int = N) -> tuple[DataFrame, DataFrame]:
-    """Membership (task, id, cls) and one row per class (task, cls, tri, grams), written once to the shared folder; texts without words are left out.
-
-    A text of fewer words than a shingle is one shingle.
-    """
+def classes(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Membership (task, id, cls) and one row per class (task, cls, tri), written once to the shared folder; texts without words are left out."""
     w = df.select("task", F.col(key).alias("id"), "text").where("text IS NOT NULL").distinct().withColumn("w", words_udf("text")).where("w <> ''").withColumn("cls", F.xxhash64("w"))
     w = materialise(w.select("task", "id", "cls", "w"), "words")
-    one = w.select("task", "cls", "w").dropDuplicates(["task", "cls"]).withColumn("ws", F.split("w", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " "))))
-    one = one.select("task", "cls", trigrams(F.regexp_replace("w", " ", "")).alias("tri"), grams.alias("grams"))
+    one = w.select("task", "cls", "w").dropDuplicates(["task", "cls"]).select("task", "cls", trigrams(F.regexp_replace("w", " ", "")).alias("tri"))
     return w.select("task", "id", "cls").distinct(), materialise(one, "classes")
 
 
@@ -73,25 +69,47 @@ def trigrams(c):
     return F.array_distinct(F.transform(F.array(F.filter(F.split(c, ""), lambda x: x != "")), of)[0])
 
 
-def overlaps(train: DataFrame, evals: DataFrame, n: int = N, hit: float = HIT, same: float = SAME) -> DataFrame:
+def similar(a: list, b: list, same: float, common: int) -> list[tuple[int, int, float]]:
+    """(i, j, share of b[j] in a[i]): all pairs of the sets that agree to ``same`` of the larger one."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    _, code, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    sets = [np.sort(x) for x in np.split(rank[code], np.cumsum(np.concatenate([na, nb]))[:-1])]
+    a, b = sets[:len(na)], sets[len(na):]
+    head = [x[:len(x) - int(np.ceil(same * len(x))) + common] for x in a]
+    own, token = np.repeat(np.arange(len(a)), [len(x) for x in head]), np.concatenate(head)
+    own, at = own[np.argsort(token, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(rank)))])
+    inside, out = np.zeros(len(rank), dtype=bool), []
+    for j, x in enumerate(b):
+        hits = np.bincount(np.concatenate([own[at[h]:at[h + 1]] for h in x[:len(x) - int(np.ceil(same * len(x))) + common]]), minlength=len(a))
+        least = np.ceil(same * np.maximum(na, len(x)))
+        inside[x] = True
+        for i in np.nonzero((hits >= np.minimum(common, least)) & (np.minimum(na, len(x)) >= least))[0]:
+            if (k := int(inside[a[i]].sum())) >= least[i]:
+                out.append((int(i), j, k / len(x)))
+        inside[x] = False
+    return out
+
+
+def overlaps(train: DataFrame, evals: DataFrame, same: float = SAME, common: int = COMMON, train_block: int = TRAIN_BLOCK, eval_block: int = EVAL_BLOCK) -> DataFrame:
     """(task, train_id, eval_id, containment): all cross-split overlaps.
 
     ``train`` (task, sample_id, text), ``evals`` likewise; further columns are not looked at. Repeated
     rows count once. ``containment`` is the share of the evaluation record's trigrams in the training record.
     """
-    tm, tc = classes(train, "sample_id", n)
-    em, ec = classes(evals, "sample_id", n)
-    tg = tc.select("task", "cls", F.explode("grams").alias("h"))
-    eg = ec.select("task", "cls", F.size("grams").alias("size"), F.explode("grams").alias("h"))
-    df = tg.join(eg.select("task", "h").distinct(), ["task", "h"], "left_semi").groupBy("task", "h").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("task", "cls").orderBy("df", "h"))  # as many rows as the text has words
-    rare = eg.join(df, ["task", "h"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
-    rare = rare.where((F.col("df") > 0) & (F.col("rank") <= F.floor((1 - hit) * F.col("size")) + 1)).select("task", "h", F.col("cls").alias("e"))
-    hits = tg.join(rare, ["task", "h"]).groupBy("task", "cls", "e").agg(F.count("*").alias("n"))
-    both = (hits.join(tc.select("task", "cls", F.col("tri").alias("a")), ["task", "cls"]).join(ec.select("task", F.col("cls").alias("e"), F.col("tri").alias("b")), ["task", "e"]))
-    both = both.where(F.least(F.size("a"), F.size("b")) >= same * F.greatest(F.size("a"), F.size("b")))  # sizes too far apart cannot be similar enough
-    both = both.withColumn("i", F.size(F.array_intersect("a", "b")))
-    both = both.where(F.col("i") >= same * F.greatest(F.size("a"), F.size("b"))).select("task", "cls", "e", (F.col("i") / F.size("b")).alias("containment"))
+    tm, tc = classes(train, "sample_id")
+    em, ec = classes(evals, "sample_id")
+    nt, ne = -(-tc.count() // train_block) or 1, -(-ec.count() // eval_block) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tb = tc.select("task", F.pmod("cls", F.lit(nt)).cast("int").alias("t"), every(ne).alias("e"), "cls", "tri")
+    eb = ec.select("task", every(nt).alias("t"), F.pmod("cls", F.lit(ne)).cast("int").alias("e"), "cls", "tri")
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = similar(list(a["tri"]), list(b["tri"]), same, common) if len(a) and len(b) else []
+        return pd.DataFrame({"task": pd.Series([a["task"].iloc[i] for i, _, _ in found], dtype=object), "cls": pd.Series([a["cls"].iloc[i] for i, _, _ in found], dtype="int64"),
+                             "e": pd.Series([b["cls"].iloc[j] for _, j, _ in found], dtype="int64"), "containment": pd.Series([c for _, _, c in found], dtype="float64")})
+    both = tb.groupBy("task", "t", "e").cogroup(eb.groupBy("task", "t", "e")).applyInPandas(meet, "task string, cls long, e long, containment double")
     return (both.join(tm.withColumnRenamed("id", "train_id"), ["task", "cls"]).join(em.select("task", F.col("cls").alias("e"), F.col("id").alias("eval_id")), ["task", "e"])
             .select("task", "train_id", "eval_id", "containment"))
 

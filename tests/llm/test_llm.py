@@ -49,6 +49,19 @@ def test_overlaps(spark):
     assert overlap.overlaps(tr.limit(0), ev).count() == 0
 
 
+def test_overlaps_with_broken_shingles(spark):
+    """Inner typing errors break five word shingles each; the pairs a plain loop over the trigrams accepts must all come out."""
+    t = "凯瑟琳在学生的坚持下放弃了铁路信号的图纸"
+    rng = random.Random(3)
+    rows = [t, "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(40))]
+    evals = [t.replace("坚", "间"), t.replace("学", "穴").replace("图", "途")] + ["".join(rng.choice("天地玄") if rng.random() < p else c for c in r) for r in rows for p in (0.03, 0.1, 0.2)]
+    tri = lambda x: {x[i:i + 3] for i in range(max(len(x) - 2, 1))}
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(evals) if len(tri(overlap.words(a).replace(" ", "")) & tri(overlap.words(b).replace(" ", ""))) >= overlap.SAME * max(len(tri(overlap.words(a).replace(" ", ""))), len(tri(overlap.words(b).replace(" ", ""))))}
+    frame = lambda xs: spark.createDataFrame([("ner", i, x) for i, x in enumerate(xs)], "task string, sample_id long, text string")
+    assert (0, 0) in want and {(r.train_id, r.eval_id) for r in overlap.overlaps(frame(rows), frame(evals)).collect()} == want
+    assert {(r.train_id, r.eval_id) for r in overlap.overlaps(frame(rows), frame(evals), common=1, train_block=1, eval_block=3).collect()} == want
+
+
 def test_name_parser():
     p = variants.Parser({"robert": "robert", "罗伯特": "robert", "dorothy": "dorothy", "gabrielle": "gabrielle"})
     assert p.person("Viwanzapetel R.") == ("latin", "viwanzapetel", "r.", "")
