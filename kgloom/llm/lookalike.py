@@ -1,68 +1,84 @@
 """Problem 6: visually identical text with different characters.
 
-Every letter belongs to a look class (o, Cyrillic о, Greek ο); a class carries the scripts that own
+Every letter belongs to a look class (o, Cyrillic о, Greek ο, Armenian օ); a class carries the scripts that own
 such a letter. A token's resolved scripts are the intersection of its letters' script sets. One
-script or more left: the token can be spelt wholly in the first of Latin, Cyrillic, Greek (a
-whole-script confusable, or a mixed-script one whose letters all exist in one script). None left: the
+script or more left: the token can be spelt wholly in the first of them in the order of ``SCRIPTS``. None left: the
 token truly mixes scripts and each class is spelt by its first owner. As the sets belong to looks, not
-to code points, two tokens of one look always get one spelling. The remaining forms (full width,
-radicals, compatibility ideographs, combining accents, blanks, dots, invisible characters) are
-normalised before.
+to code points, two tokens of one look always get one spelling. What was detected is reported: ``mixed`` (a token's
+letters come from several scripts), ``whole`` (from one script, but another one spells it alike and goes first), ``form``
+(only other forms were brought together), ``same``. The remaining forms (full width, radicals, compatibility ideographs,
+combining accents, blanks, dots, invisible characters) are normalised before.
+
+Each distinct string is formed once, in the JVM where it holds nothing but ASCII, ideographs, accented Latin letters
+and signs with a fixed counterpart, else in Arrow batches. From then on only 16-byte digests of writings and forms are shuffled.
+Classes of equal writings are paired; their members are handed out in chunks, so no popular writing is one task.
 """
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of one look, in the order Latin, Cyrillic, Greek; "-" where a script has none.
+from kgloom.sources.writers import materialise
+
+# Letters of one look, in the order Latin, Cyrillic, Greek, Armenian, Cherokee; "-" where a script has none.
 LOOKS = """
-Aа-: A А Α
-B: B В Β
-C: C С -
-E: E Е Ε
-H: H Н Η
-I: I І Ι
-J: J Ј -
-K: K К Κ
-M: M М Μ
-N: N - Ν
-O: O О Ο
-P: P Р Ρ
-S: S Ѕ -
-T: T Т Τ
-X: X Х Χ
-Y: Y Ү Υ
-Z: Z - Ζ
-a: a а -
-c: c с -
-d: d ԁ -
-e: e е -
-h: h һ -
-i: i і -
-j: j ј -
-l: l ӏ -
-o: o о ο
-p: p р -
-q: q ԛ -
-s: s ѕ -
-v: v - ν
-w: w ԝ -
-x: x х -
-y: y у -
-G: - Г Γ
-L: - Л Λ
-F: - Ф Φ
-R: - П Π
+A А Α - Ꭺ
+B В Β - Ᏼ
+C С - - Ꮯ
+D - - - Ꭰ
+E Е Ε - Ꭼ
+H Н Η - Ꮋ
+I І Ι - -
+J Ј - - Ꭻ
+K К Κ - Ꮶ
+L - - - Ꮮ
+M М Μ - Ꮇ
+N - Ν - -
+O О Ο Օ -
+P Р Ρ - Ꮲ
+R - - - Ꭱ
+S Ѕ - Տ Ꮪ
+T Т Τ - Ꭲ
+U - - Ս -
+V - - - Ꮩ
+W - - - Ꮃ
+X Х Χ - -
+Y Ү Υ - Ꮍ
+Z - Ζ - Ꮓ
+a а - - -
+c с - - -
+d ԁ - - -
+e е - - -
+g - - ց -
+h һ - հ -
+i і - - -
+j ј - յ -
+l ӏ - - -
+n - - ո -
+o о ο օ -
+p р - - -
+q ԛ - զ -
+s ѕ - - -
+u - - ս -
+v - ν - -
+w ԝ - - -
+x х - - -
+y у - - -
+- Г Γ - -
+- Л Λ - -
+- Ф Φ - -
+- П Π - -
 """
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
-LOOK: dict[str, tuple[str, str, str]] = {}
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
+LOOK: dict[str, tuple[str, ...]] = {}
 for _line in LOOKS.strip().split("\n"):
-    _row = tuple(_line.split(": ")[1].split(" "))
+    _row = tuple(_line.split(" "))
     for _c in _row:
         if _c != "-":
             LOOK[_c] = _row
@@ -73,92 +89,162 @@ _BEFORE = {ord(c): "·" for c in DOTS}
 _AFTER = {ord(k): v for k, v in QUOTES.items()} | {c: None for c in (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x2800, 0x3164, 0xFEFF, 0xFFA0)}
 _AFTER |= {c: None for a, b in ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F)) for c in range(a, b + 1)}
 _BLANK = re.compile(r"[\s ]+")
-_FOREIGN = re.compile(r"[Ͱ-Ͽ҃-԰Ѐ-҂]")
+_FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13fd]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _spell(m: re.Match) -> str:
-    """The consistent spelling of one token without combining marks outside composed letters."""
-    word = unicodedata.normalize("NFD", m[0])
-    sets, have = {0, 1, 2}, False
+_PUNCT = "".join(chr(c) for c in range(0xFF01, 0xFF5F))  # full-width forms of ASCII, in its order
+_FROM = _PUNCT + DOTS + "".join(QUOTES) + "\u3000\xa0" + "".join(chr(c) for c, v in _AFTER.items() if v is None)
+_TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "·" * len(DOTS) + "".join(QUOTES.values()) + "  "
+_PLAIN = "^[ -~\\t\\n\\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u4e00-\u9fff、。《》「」『』【】—–" + "".join(f"\\x{{{ord(c):x}}}" for c in _FROM) + "]*+\\z"
+# rows of one writing that are handed out together: bounds a task's memory, changes no result
+CHUNK = 20000
+
+
+def _script(c: str) -> int | None:
+    name = unicodedata.name(c, "")
+    return next((i for i, s in enumerate(SCRIPTS) if name.startswith(s)), None)
+
+
+@lru_cache(maxsize=1 << 16)
+def _spell(token: str) -> tuple[str, str]:
+    """(consistent spelling, what was detected) of one token."""
+    word = unicodedata.normalize("NFD", token)
+    sets, own, have = set(range(len(SCRIPTS))), set(), False
     for c in word:
         row = LOOK.get(c)
         if row:
-            sets &= {i for i in range(3) if row[i] != "-"}
+            sets &= {i for i, x in enumerate(row) if x != "-"}
+            own.add(SIDE[c])
             have = True
         elif unicodedata.category(c)[0] == "L":
-            name = unicodedata.name(c, "")
-            sets &= {0} if name.startswith("LATIN") else {1} if name.startswith("CYRILLIC") else {2} if name.startswith("GREEK") else set()
+            at = _script(c)
+            own.add(at)
+            sets &= {at}
     if not have:
-        return m[0]
+        return token, "same"
     to = min(sets) if sets else None
-    out = "".join(c if c not in LOOK else LOOK[c][to] if to is not None else next(x for x in LOOK[c] if x != "-") for c in word)
-    return unicodedata.normalize("NFC", out)
+    out = unicodedata.normalize("NFC", "".join(c if c not in LOOK else LOOK[c][to] if to is not None else next(x for x in LOOK[c] if x != "-") for c in word))
+    return out, "mixed" if len(own) > 1 else "whole" if to is not None and own != {to} else "same"
 
 
-def consistent(text: str | None) -> str | None:
-    """The one form of all strings that look like ``text``: case, visible accents, spelling and order are kept.
+def examined(text: str | None) -> tuple[str | None, str | None]:
+    """(the one form of all strings that look like ``text``, what was detected): case, visible accents, spelling and order are kept.
 
     Null stays null; an empty, blank or wholly invisible text gives "". Runs of blanks become one
     space and blanks at the edges are cut, as their kind and width cannot be told by eye.
     """
     if text is None:
-        return None
+        return None, None
     if text.isascii():
-        return _BLANK.sub(" ", text).strip()
+        t = _BLANK.sub(" ", text).strip()
+        return t, "same" if t == text else "form"
     t = unicodedata.normalize("NFKC", text.translate(_BEFORE)).translate(_AFTER)
-    t = unicodedata.normalize("NFC", _BLANK.sub(" ", t).strip())
+    t, kinds = unicodedata.normalize("NFC", _BLANK.sub(" ", t).strip()), set()
     if _FOREIGN.search(t):
-        t = _WORD.sub(_spell, t)
-    return t
+        def one(m: re.Match) -> str:
+            out, kind = _spell(m[0])
+            kinds.add(kind)
+            return out
+        t = _WORD.sub(one, t)
+    return t, "mixed" if "mixed" in kinds else "whole" if "whole" in kinds else "same" if t == text else "form"
+
+
+def consistent(text: str | None) -> str | None:
+    """The form ``examined`` gives."""
+    return examined(text)[0]
+
+
+FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("look", T.StringType())])
+
+
+@F.pandas_udf(FORM)
+def examined_form(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([examined(x) if isinstance(x, str) else (None, None) for x in texts], columns=["form", "look"])
+
+
+def digest(c) -> F.Column:
+    return F.unhex(F.md5(c))
+
+
+def formed(strings: DataFrame) -> DataFrame:
+    """Adds (form, look) to distinct strings (raw, ...); plain ones never leave the JVM."""
+    plain = F.col("raw").rlike(_PLAIN)
+    s = strings.withColumn("_u", examined_form(F.when(~plain, F.col("raw"))))
+    here = F.trim(F.regexp_replace(F.translate("raw", _FROM, _TO), r"\s+", " "))
+    form = F.when(plain, here).otherwise(F.col("_u.form"))
+    return s.select(*strings.columns, form.alias("form"), F.when(plain, F.when(here == F.col("raw"), "same").otherwise("form")).otherwise(F.col("_u.look")).alias("look"))
+
+
+def rows_of(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(id, raw) with the id as a string; null texts and ids are left out."""
+    return df.select(F.col(key).cast("string").alias("id"), F.col(col).alias("raw")).where("raw IS NOT NULL AND id IS NOT NULL")
+
+
+def writings(columns: dict[str, DataFrame]) -> DataFrame:
+    """(w, f, columns): the distinct strings of all columns as digests of writing and form, with the columns they stand in. Written once; looks of nothing are left out."""
+    every = None
+    for name, d in columns.items():
+        one = d.select("raw", F.lit(name).alias("column"))
+        every = one if every is None else every.unionByName(one)
+    u = every.groupBy("raw").agg(F.collect_set("column").alias("columns"))  # as many values as columns
+    return materialise(formed(u).where("form <> ''").select(digest("raw").alias("w"), digest("form").alias("f"), "columns"), "writings")
 
 
-@F.pandas_udf(T.StringType())
-def consistent_form(texts: pd.Series) -> pd.Series:
-    return pd.Series([consistent(x) if isinstance(x, str) else None for x in texts], dtype=object)
+def _members(d: DataFrame, w: DataFrame) -> DataFrame:
+    """(w, id, part, parts) of the rows whose writing is asked for, parted into chunks of about CHUNK."""
+    m = d.select(digest("raw").alias("w"), "id").join(w, "w", "left_semi").distinct()
+    n = m.groupBy("w").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    return m.join(n, "w").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
-def look_forms(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(id, raw, form) of the distinct rows of a text column; null texts are left out."""
-    return df.select(F.col(key).alias("id"), F.col(col).alias("raw")).where("raw IS NOT NULL AND id IS NOT NULL").distinct().withColumn("form", consistent_form("raw"))
+def handed_out(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): ids of all rows of both writings of each pair (wa, wb). Chunks of one writing meet chunks of the other in separate groups."""
+    pairs = materialise(pairs, "looks")
+    ls, rs = _members(left, pairs.select(F.col("wa").alias("w")).distinct()), _members(right, pairs.select(F.col("wb").alias("w")).distinct())
+    ln = ls.select(F.col("w").alias("wa"), F.col("parts").alias("na")).distinct()
+    rn = rs.select(F.col("w").alias("wb"), F.col("parts").alias("nb")).distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = pairs.join(ln, "wa").join(rn, "wb").withColumn("pa", every("na")).withColumn("pb", every("nb"))
+    a = p.select("wa", "pa", "wb", "pb").join(ls.select(F.col("w").alias("wa"), F.col("part").alias("pa"), F.col("id").alias("a")), ["wa", "pa"])
+    return a.join(rs.select(F.col("w").alias("wb"), F.col("part").alias("pb"), F.col("id").alias("b")), ["wb", "pb"]).select("a", "b")
 
 
-def _classes(forms: DataFrame) -> DataFrame:
-    """Only forms that occur in more than one writing can give pairs; identical writings are one class."""
-    return forms.where("form <> ''").select("form", "raw").distinct()
+def look_pairs(d: DataFrame, w: DataFrame, column: str, numeric: bool) -> DataFrame:
+    """(field, left_id, right_id): rows of one column that look the same and differ. Only forms in several writings are paired."""
+    c = w.where(F.array_contains("columns", column)).select("w", "f")
+    c = c.join(c.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "f", "left_semi").select("w", "f")
+    p = c.toDF("wa", "f").join(c.toDF("wb", "f"), "f").where("wa < wb").select("wa", "wb")
+    ids = handed_out(p, d, d).where("a <> b")
+    a, b = (F.col("a").cast("bigint"), F.col("b").cast("bigint")) if numeric else (F.col("a"), F.col("b"))
+    return ids.select(F.lit(column).alias("field"), F.least(a, b).cast("string").alias("left_id"), F.greatest(a, b).cast("string").alias("right_id")).distinct()
 
 
-def look_pairs(df: DataFrame, key: str, col: str, field: str, numeric: bool) -> DataFrame:
-    """Pairs of ids of one column whose texts look the same and differ: joined between classes of writings, then handed to the members."""
-    f = look_forms(df, key, col)
-    c = _classes(f)
-    several = c.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    f = f.join(several, "form").select("form", "raw", "id")
-    a, b = f.toDF("form", "raw_a", "a"), f.toDF("form", "raw_b", "b")
-    p = a.join(b, (a.form == b.form) & (a.raw_a < b.raw_b) & (F.col("a") != F.col("b")))
-    lo, hi = (F.least("a", "b"), F.greatest("a", "b"))
-    if not numeric:
-        lo, hi = F.least(F.col("a").cast("string"), F.col("b").cast("string")), F.greatest(F.col("a").cast("string"), F.col("b").cast("string"))
-    return p.select(F.lit(field).alias("field"), lo.cast("string").alias("left_id"), hi.cast("string").alias("right_id")).distinct()
+def look_matches(d: DataFrame, other: DataFrame, w: DataFrame, column: str, other_column: str) -> DataFrame:
+    """(field, id, id of the other column) of rows that look the same and differ."""
+    a = w.where(F.array_contains("columns", column)).select(F.col("w").alias("wa"), "f")
+    b = w.where(F.array_contains("columns", other_column)).select(F.col("w").alias("wb"), "f")
+    ids = handed_out(a.join(b, "f").where("wa <> wb").select("wa", "wb"), d, other)
+    return ids.select(F.lit(column).alias("field"), F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct()
 
 
-def look_matches(df: DataFrame, key: str, col: str, other: DataFrame, other_key: str, other_col: str, field: str) -> DataFrame:
-    """Pairs (id, other id) whose texts look the same and differ. The other side's forms select first, so rows without partner are never shuffled on."""
-    o = look_forms(other, other_key, other_col).where("form <> ''")
-    f = look_forms(df, key, col)
-    p = f.join(o.toDF("oid", "oraw", "oform"), (F.col("form") == F.col("oform")) & (F.col("raw") != F.col("oraw")))
-    return p.select(F.lit(field).alias("field"), F.col("id").cast("string").alias("left_id"), F.col("oid").cast("string").alias("right_id")).distinct()
+def _columns(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> dict[str, DataFrame]:
+    return {"kb.name": rows_of(kb, "entity_id", "name"), "input.entity": rows_of(inputs, "cand_id", "entity"), "sentence": rows_of(triples, "triple_id", "sentence")}
 
 
 def found(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> DataFrame:
-    """All three columns of the graph tables."""
-    return (look_pairs(kb, "entity_id", "name", "kb.name", False)
-            .unionByName(look_matches(inputs, "cand_id", "entity", kb, "entity_id", "name", "input.entity"))
-            .unionByName(look_pairs(triples, "triple_id", "sentence", "sentence", True)))
+    """All three columns of the graph tables. Repeated rows count once; empty tables give no rows."""
+    c = _columns(kb, inputs, triples)
+    w = writings(c)
+    return (look_pairs(c["kb.name"], w, "kb.name", False).unionByName(look_matches(c["input.entity"], c["kb.name"], w, "input.entity", "kb.name"))
+            .unionByName(look_pairs(c["sentence"], w, "sentence", True)))
 
 
 def forms(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> DataFrame:
-    """The consistent form of every text that changes: (field, id, raw, form)."""
-    parts = [look_forms(d, k, c).select(F.lit(n).alias("field"), F.col("id").cast("string").alias("id"), "raw", "form")
-             for d, k, c, n in ((kb, "entity_id", "name", "kb.name"), (inputs, "cand_id", "entity", "input.entity"), (triples, "triple_id", "sentence", "sentence"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where("raw <> form")
+    """(field, id, raw, form, look): the consistent form of every text that changes, and what was detected."""
+    every = None
+    for name, d in _columns(kb, inputs, triples).items():
+        one = d.select(F.lit(name).alias("field"), "id", "raw").distinct()
+        every = one if every is None else every.unionByName(one)
+    new = materialise(formed(every.select("raw").distinct()).where("raw <> form"), "forms").withColumn("w", digest("raw"))
+    return every.withColumn("w", digest("raw")).drop("raw").join(new, "w").select("field", "id", "raw", "form", "look")
