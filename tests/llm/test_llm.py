@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -12,10 +13,31 @@ def test_look_alikes():
     assert c("Москва") == "Москва" and c("A") != c("a") and c("é") != c("e")
 
 
-def test_look_pairs(spark):
-    kb = spark.createDataFrame([("E1", "Rob X", 1), ("E2", "Rοb X", 1), ("E2", "Rοb X", 1), ("E3", "Rob X", 1), ("E4", None, 1), ("E5", "", 1)], "entity_id string, name string, form int")
-    got = {(r.left_id, r.right_id) for r in lookalike.look_pairs(kb, "entity_id", "name", "kb.name", False).collect()}
-    assert got == {("E1", "E2"), ("E2", "E3")}
+def test_detection():
+    e = lookalike.examined
+    assert e("Sοfi")[1] == "mixed" and e("Рор") == ("Pop", "whole") and e("Ꭺp") == ("Ap", "mixed") and e("Ｒob")[1] == "form" and e("Rob") == ("Rob", "same") and e(None) == (None, None)
+
+
+def test_forms_in_the_jvm_equal_python(spark):
+    rng = random.Random(5)
+    letters = "aB é\u3000 \u200b·•’“，！Ａ中文。《》\t-–\u200d\ufeffñ?оΑս…\u0301Ꭺ"
+    d = spark.createDataFrame([("".join(rng.choice(letters[:-7] if i % 2 else letters) for _ in range(rng.randint(0, 12))),) for i in range(600)], "raw string").distinct()
+    assert all((r.form, r.look) == lookalike.examined(r.raw) for r in lookalike.formed(d).collect())
+
+
+def test_look_pairs(spark, monkeypatch):
+    names = [("E1", "Rob X", 1), ("E2", "Rοb X", 1), ("E2", "Rοb X", 1), ("E3", "Rob X", 1), ("E4", None, 1), ("E5", "", 1), (None, "Rοb X", 1), ("E6", "Ｒob X", 1), ("E7", "rob X", 1)]
+    kb = spark.createDataFrame(names, "entity_id string, name string, form int")
+    inp = spark.createDataFrame([(1, "Rob  X", 0), (1, "Rob  X", 0), (2, "Rob X", 0), (3, None, 0)], "cand_id long, entity string, w int")
+    tri = spark.createDataFrame([(10, "一⼀", 0), (9, "一一", 0), (8, "一一", 0), (7, None, 0)], "triple_id long, sentence string, f int")
+    want = {(a, b) for a, x, _ in names for b, y, _ in names if a and b and x and y and a < b and x != y and lookalike.consistent(x) == lookalike.consistent(y)}
+    for chunk in (20000, 1):
+        monkeypatch.setattr(lookalike, "CHUNK", chunk)
+        got = {(r.field, r.left_id, r.right_id) for r in lookalike.found(kb, inp, tri).collect()}
+        assert {(a, b) for f, a, b in got if f == "kb.name"} == want and {(a, b) for f, a, b in got if f == "sentence"} == {("9", "10"), ("8", "10")}
+        assert {(a, b) for f, a, b in got if f == "input.entity"} == {("1", e) for e in ("E1", "E2", "E3", "E6")} | {("2", e) for e in ("E2", "E6")}
+    assert lookalike.found(kb.limit(0), inp.limit(0), tri.limit(0)).count() == 0
+    assert {(r.field, r.id, r.look) for r in lookalike.forms(kb, inp, tri).collect()} == {("kb.name", "E2", "mixed"), ("kb.name", "E6", "form"), ("input.entity", "1", "form"), ("sentence", "10", "form")}
 
 
 def test_tokenizer_equals_plain_merging():
@@ -49,17 +71,36 @@ def test_overlaps(spark):
     assert overlap.overlaps(tr.limit(0), ev).count() == 0
 
 
-def test_overlaps_with_broken_shingles(spark):
-    """Inner typing errors break five word shingles each; the pairs a plain loop over the trigrams accepts must all come out."""
-    t = "凯瑟琳在学生的坚持下放弃了铁路信号的图纸"
+def plain_overlaps(train, evals, same=overlap.SAME):
+    """All pairs, compared one by one with exact counts."""
+    def grams(x):
+        w = overlap.words(x).split()
+        return {tuple(w[i:i + overlap.WORDS]) for i in range(max(len(w) - overlap.WORDS + 1, 1))} if w else set()
+    df = collections.Counter(g for x in {overlap.words(x) for x in evals if x} for g in grams(x))
+
+    def weights(gs):
+        q = max(sorted(df[g] for g in gs)[int((len(gs) - 1) * overlap.QUANTILE)], 1)
+        w = {g: 1 / (1 + max(df[g], 1) / (overlap.SPREAD * q)) for g in gs}
+        return {g: x / sum(w.values()) for g, x in w.items()}
+    ws = [[weights(g) if (g := grams(x)) else {} for x in xs] for xs in (train, evals)]
+    return {(i, j) for i, a in enumerate(ws[0]) for j, b in enumerate(ws[1]) if a and b and min(sum(a[g] for g in a.keys() & b.keys()), sum(b[g] for g in a.keys() & b.keys())) >= same}
+
+
+def test_overlaps_lose_nothing(spark):
+    """Typing errors break five grams each, stock phrases and near copies abound; what a plain loop accepts must come out, with salting and without."""
     rng = random.Random(3)
-    rows = [t, "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(40))]
-    evals = [t.replace("坚", "间"), t.replace("学", "穴").replace("图", "途")] + ["".join(rng.choice("天地玄") if rng.random() < p else c for c in r) for r in rows for p in (0.03, 0.1, 0.2)]
-    tri = lambda x: {x[i:i + 3] for i in range(max(len(x) - 2, 1))}
-    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(evals) if len(tri(overlap.words(a).replace(" ", "")) & tri(overlap.words(b).replace(" ", ""))) >= overlap.SAME * max(len(tri(overlap.words(a).replace(" ", ""))), len(tri(overlap.words(b).replace(" ", ""))))}
-    frame = lambda xs: spark.createDataFrame([("ner", i, x) for i, x in enumerate(xs)], "task string, sample_id long, text string")
-    assert (0, 0) in want and {(r.train_id, r.eval_id) for r in overlap.overlaps(frame(rows), frame(evals)).collect()} == want
-    assert {(r.train_id, r.eval_id) for r in overlap.overlaps(frame(rows), frame(evals), common=1, train_block=1, eval_block=3).collect()} == want
+    stock = ["这项工作在寒冷的冬季换来一间更大的工作室", "the report was moved to a harbour store that winter", "全部算稿凭借匿名捐款引出了更难的问题"]
+    letters = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 60))) + rng.choice(stock) for _ in range(40)]
+    typo = lambda x, p: "".join(rng.choice(letters) if rng.random() < p else c for c in x)
+    train = [typo(x, p) for x in base for p in (0, 0.03, 0.08)] + ["", None, "。", base[0]]
+    evals = [typo(x, p) for x in base for p in (0, 0.05, 0.15)] + [typo(base[1], 0.02) for _ in range(40)] + [base[0].replace("这", "這"), None, " "]
+    want = plain_overlaps(train, evals)
+    frame = lambda xs: spark.createDataFrame([("ner", i, x, 1) for i, x in enumerate(xs)], "task string, sample_id long, text string, cls int")
+    for together in (overlap.TOGETHER, 3):
+        got = {(r.train_id, r.eval_id) for r in overlap.overlaps(frame(train), frame(evals), together=together).collect()}
+        assert len(want) > 200 and want <= got and len(got - want) <= 0.01 * len(want)  # a count is rounded to an eighth of a power of two
+    assert overlap.overlaps(frame(train).limit(0), frame(evals).limit(0)).count() == 0
 
 
 def test_name_parser():
