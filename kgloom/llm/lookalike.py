@@ -96,7 +96,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _PUNCT = "".join(chr(c) for c in range(0xFF01, 0xFF5F))  # full-width forms of ASCII, in its order
 _FROM = _PUNCT + DOTS + "".join(QUOTES) + "\u3000\xa0" + "".join(chr(c) for c, v in _AFTER.items() if v is None)
 _TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "·" * len(DOTS) + "".join(QUOTES.values()) + "  "
-_PLAIN = "^[ -~\\t\\n\\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u4e00-\u9fff、。《》「」『』【】—–" + "".join(f"\\x{{{ord(c):x}}}" for c in _FROM) + "]*+\\z"
+_PLAIN = r"^[ -~\u4e00-\u9fff\t\n\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff、。《》「」『』【】—–·]*+\z"  # of a translated text
 # rows of one writing that are handed out together: bounds a task's memory, changes no result
 CHUNK = 20000
 
@@ -169,11 +169,9 @@ def digest(c) -> F.Column:
 
 def formed(strings: DataFrame) -> DataFrame:
     """Adds (form, look) to distinct strings (raw, ...); plain ones never leave the JVM."""
-    plain = F.col("raw").rlike(_PLAIN)
-    s = strings.withColumn("_u", examined_form(F.when(~plain, F.col("raw"))))
-    here = F.trim(F.regexp_replace(F.translate("raw", _FROM, _TO), r"\s+", " "))
-    form = F.when(plain, here).otherwise(F.col("_u.form"))
-    return s.select(*strings.columns, form.alias("form"), F.when(plain, F.when(here == F.col("raw"), "same").otherwise("form")).otherwise(F.col("_u.look")).alias("look"))
+    s = strings.withColumn("_t", F.translate("raw", _FROM, _TO)).withColumn("_plain", F.col("_t").rlike(_PLAIN))
+    s = s.withColumn("_u", examined_form(F.when(~F.col("_plain"), F.col("raw")))).withColumn("form", F.when(F.col("_plain"), F.trim(F.regexp_replace("_t", r"\s+", " "))).otherwise(F.col("_u.form")))
+    return s.select(*strings.columns, "form", F.when(~F.col("_plain"), F.col("_u.look")).when(F.col("form") == F.col("raw"), "same").otherwise("form").alias("look"))
 
 
 def rows_of(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -182,50 +180,51 @@ def rows_of(df: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def writings(columns: dict[str, DataFrame]) -> DataFrame:
-    """(w, f, columns): the distinct strings of all columns as digests of writing and form, with the columns they stand in. Written once; looks of nothing are left out."""
+    """(w, f, columns): the distinct strings of all columns as digests of writing and form, with the bits of the columns they stand in. Written once; looks of nothing are left out."""
     every = None
-    for name, d in columns.items():
-        one = d.select("raw", F.lit(name).alias("column"))
+    for k, d in enumerate(columns.values()):
+        one = d.select("raw", F.lit(1 << k).alias("column"))
         every = one if every is None else every.unionByName(one)
-    u = every.groupBy("raw").agg(F.collect_set("column").alias("columns"))  # as many values as columns
-    return materialise(formed(u).where("form <> ''").select(digest("raw").alias("w"), digest("form").alias("f"), "columns"), "writings")
+    u = every.groupBy("raw").agg(F.bit_or("column").alias("columns"))
+    # no filter on the form here: it would be pushed below the grouping and form every row
+    u = formed(u).select(digest("raw").alias("w"), F.when(F.col("form") != "", digest("form")).alias("f"), "columns")
+    return materialise(u, "writings").where("f IS NOT NULL")
 
 
-def _members(d: DataFrame, w: DataFrame) -> DataFrame:
-    """(w, id, part, parts) of the rows whose writing is asked for, parted into chunks of about CHUNK."""
-    m = d.select(digest("raw").alias("w"), "id").join(w, "w", "left_semi").distinct()
-    n = m.groupBy("w").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    return m.join(n, "w").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def _of(w: DataFrame, bit: int) -> DataFrame:
+    return w.where(F.col("columns").bitwiseAND(bit) != 0).select("w", "f")
 
 
-def handed_out(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): ids of all rows of both writings of each pair (wa, wb). Chunks of one writing meet chunks of the other in separate groups."""
-    pairs = materialise(pairs, "looks")
-    ls, rs = _members(left, pairs.select(F.col("wa").alias("w")).distinct()), _members(right, pairs.select(F.col("wb").alias("w")).distinct())
-    ln = ls.select(F.col("w").alias("wa"), F.col("parts").alias("na")).distinct()
-    rn = rs.select(F.col("w").alias("wb"), F.col("parts").alias("nb")).distinct()
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    p = pairs.join(ln, "wa").join(rn, "wb").withColumn("pa", every("na")).withColumn("pb", every("nb"))
-    a = p.select("wa", "pa", "wb", "pb").join(ls.select(F.col("w").alias("wa"), F.col("part").alias("pa"), F.col("id").alias("a")), ["wa", "pa"])
-    return a.join(rs.select(F.col("w").alias("wb"), F.col("part").alias("pb"), F.col("id").alias("b")), ["wb", "pb"]).select("a", "b")
-
-
-def look_pairs(d: DataFrame, w: DataFrame, column: str, numeric: bool) -> DataFrame:
-    """(field, left_id, right_id): rows of one column that look the same and differ. Only forms in several writings are paired."""
-    c = w.where(F.array_contains("columns", column)).select("w", "f")
+def class_pairs(w: DataFrame, bit: int) -> DataFrame:
+    """(wa, wb): writings of one column that look the same. Only forms in several writings are paired."""
+    c = _of(w, bit)
     c = c.join(c.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "f", "left_semi").select("w", "f")
-    p = c.toDF("wa", "f").join(c.toDF("wb", "f"), "f").where("wa < wb").select("wa", "wb")
-    ids = handed_out(p, d, d).where("a <> b")
-    a, b = (F.col("a").cast("bigint"), F.col("b").cast("bigint")) if numeric else (F.col("a"), F.col("b"))
-    return ids.select(F.lit(column).alias("field"), F.least(a, b).cast("string").alias("left_id"), F.greatest(a, b).cast("string").alias("right_id")).distinct()
+    return c.toDF("wa", "f").join(c.toDF("wb", "f"), "f").where("wa < wb").select("wa", "wb")
+
+
+def class_matches(w: DataFrame, bit: int, other: int) -> DataFrame:
+    """(wa, wb): differing writings of two columns that look the same."""
+    return _of(w, bit).toDF("wa", "f").join(_of(w, other).toDF("wb", "f"), "f").where("wa <> wb").select("wa", "wb")
+
 
+def handed_out(columns: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
+    """(field, a, b): ids of all rows of both writings of each pair (field, ca, wa, cb, wb), ca and cb being columns.
 
-def look_matches(d: DataFrame, other: DataFrame, w: DataFrame, column: str, other_column: str) -> DataFrame:
-    """(field, id, id of the other column) of rows that look the same and differ."""
-    a = w.where(F.array_contains("columns", column)).select(F.col("w").alias("wa"), "f")
-    b = w.where(F.array_contains("columns", other_column)).select(F.col("w").alias("wb"), "f")
-    ids = handed_out(a.join(b, "f").where("wa <> wb").select("wa", "wb"), d, other)
-    return ids.select(F.lit(column).alias("field"), F.col("a").alias("left_id"), F.col("b").alias("right_id")).distinct()
+    Each column is read once, for the rows of paired writings. Chunks of one writing meet chunks of the other in separate groups.
+    """
+    pairs = materialise(pairs, "looks")
+    wanted = pairs.select(F.col("ca").alias("c"), F.col("wa").alias("w")).unionByName(pairs.select(F.col("cb").alias("c"), F.col("wb").alias("w"))).distinct()
+    every = None
+    for name, d in columns.items():
+        one = d.select(F.lit(name).alias("c"), digest("raw").alias("w"), "id")
+        every = one if every is None else every.unionByName(one)
+    m = materialise(every.join(wanted, ["c", "w"], "left_semi").distinct(), "members")
+    n = materialise(m.groupBy("c", "w").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")), "sizes")
+    m = m.join(n, ["c", "w"]).select("c", "w", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    every_part = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    p = pairs.join(n.toDF("ca", "wa", "na"), ["ca", "wa"]).join(n.toDF("cb", "wb", "nb"), ["cb", "wb"]).withColumn("pa", every_part("na")).withColumn("pb", every_part("nb"))
+    a = p.select("field", "ca", "wa", "pa", "cb", "wb", "pb").join(m.select(F.col("c").alias("ca"), F.col("w").alias("wa"), F.col("id").alias("a"), F.col("part").alias("pa")), ["ca", "wa", "pa"])
+    return a.join(m.select(F.col("c").alias("cb"), F.col("w").alias("wb"), F.col("id").alias("b"), F.col("part").alias("pb")), ["cb", "wb", "pb"]).select("field", "a", "b")
 
 
 def _columns(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> dict[str, DataFrame]:
@@ -236,8 +235,13 @@ def found(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> DataFrame:
     """All three columns of the graph tables. Repeated rows count once; empty tables give no rows."""
     c = _columns(kb, inputs, triples)
     w = writings(c)
-    return (look_pairs(c["kb.name"], w, "kb.name", False).unionByName(look_matches(c["input.entity"], c["kb.name"], w, "input.entity", "kb.name"))
-            .unionByName(look_pairs(c["sentence"], w, "sentence", True)))
+    row = lambda p, field, a, b: p.select(F.lit(field).alias("field"), F.lit(a).alias("ca"), "wa", F.lit(b).alias("cb"), "wb")
+    pairs = (row(class_pairs(w, 1), "kb.name", "kb.name", "kb.name").unionByName(row(class_matches(w, 2, 1), "input.entity", "input.entity", "kb.name"))
+             .unionByName(row(class_pairs(w, 4), "sentence", "sentence", "sentence")))
+    ids = handed_out(c, pairs).where("field = 'input.entity' OR a <> b")
+    number = F.col("field") == "sentence"
+    before = F.when(number, F.col("a").cast("bigint") < F.col("b").cast("bigint")).otherwise((F.col("field") == "input.entity") | (F.col("a") < F.col("b")))
+    return ids.select("field", F.when(before, F.col("a")).otherwise(F.col("b")).alias("left_id"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("right_id")).distinct()
 
 
 def forms(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> DataFrame:
@@ -246,5 +250,5 @@ def forms(kb: DataFrame, inputs: DataFrame, triples: DataFrame) -> DataFrame:
     for name, d in _columns(kb, inputs, triples).items():
         one = d.select(F.lit(name).alias("field"), "id", "raw").distinct()
         every = one if every is None else every.unionByName(one)
-    new = materialise(formed(every.select("raw").distinct()).where("raw <> form"), "forms").withColumn("w", digest("raw"))
+    new = materialise(formed(every.select("raw").distinct()), "forms").where("raw <> form").withColumn("w", digest("raw"))
     return every.withColumn("w", digest("raw")).drop("raw").join(new, "w").select("field", "id", "raw", "form", "look")
