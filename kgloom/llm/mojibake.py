@@ -1,10 +1,12 @@
 """Problem 9: garbled text from wrong character encoding.
 
-Round-trip repair. For each candidate (wrong, intended) pair of encodings the stretches that could have
-come from it are found by a pattern over characters, encoded back to the bytes they came from, and
-decoded strictly as the intended encoding. The stretch is replaced when a garbling cost drops
-enough; this is repeated for nested layers. A stretch whose bytes are damaged (strict decoding fails, or
-the replacement character stands in it) is reported as garbled but left as it is.
+Round-trip repair. Each candidate (wrong, intended) pair of encodings is tried on the whole line: encoded back to the bytes it
+came from, decoded strictly as the intended encoding. Where no pair carries a whole line, the stretches that could have
+come from a pair are found by a pattern over characters and tried alike; a pair that repaired one stretch of a line is then trusted
+with stretches of less evidence. A reading is taken when a garbling cost drops enough; this is repeated for nested
+layers until it drops no more. A stretch whose bytes are damaged (strict decoding fails, or the replacement character stands in
+it) is reported as garbled but left as it is, and a repaired line that still holds characters out of place counts as not restored.
+A character lost from a text written in a one-byte encoding leaves no trace in the bytes and cannot be told.
 """
 from __future__ import annotations
 
@@ -23,7 +25,6 @@ TO_CYRILLIC = (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"),
                ("mac_roman", "cp1251"), ("mac_roman", "koi8-r"), ("latin-1", "iso8859-5"), ("cp1252", "cp866"), ("cp850", "cp1251"), ("cp437", "cp1251"))
 TO_LATIN = tuple((w, m) for w in ("cp850", "cp437", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250") for m in ("cp1252",)) + (("cp1252", "cp850"), ("cp1252", "mac_roman"), ("cp1252", "cp437"))
 WIDE = (("gb18030", "utf-8"), ("big5", "gb18030"), ("big5", "utf-8"), ("gb18030", "big5"), ("cp932", "utf-8"), ("cp932", "gb18030"), ("euc_kr", "gb18030"), ("cp949", "utf-8"))
-LAYERS = 6
 MARGIN = 0.4
 SUSPECT = r"[^\x00-\x7f]"  # this cheap test runs before Python
 
@@ -115,13 +116,13 @@ def _decoded(raw: bytes | None, meant: str) -> str | None:
 
 
 def _keep_if(test, worth=lambda old: True):
-    """A replacement function that takes the decoded stretch only if the garbling cost drops and ``test(old, new)`` holds; ``worth`` is asked before decoding."""
-    def sub(enc: str, meant: str):
+    """A replacement function that takes the decoded stretch only if the garbling cost drops by ``margin`` and ``test(old, new)`` holds; ``worth`` is asked before decoding."""
+    def sub(enc: str, meant: str, margin: float = MARGIN):
         def one(m: re.Match) -> str:
             if not worth(m[0]):
                 return m[0]
             new = _decoded(_bytes(m[0], enc), meant)
-            return new if new is not None and new != m[0] and cost(new) < cost(m[0]) - MARGIN and test(m[0], new) else m[0]
+            return new if new is not None and new != m[0] and cost(new) < cost(m[0]) - margin and test(m[0], new) else m[0]
         return one
     return sub
 
@@ -136,7 +137,8 @@ def _cyrillic(old: str, new: str) -> bool:
 
 
 _AS_UTF8 = _keep_if(lambda old, new: True)
-_AS_HAN = _keep_if(lambda old, new: cost(new) < 0.2 * len(new), lambda old: len(old) >= 6 and cost(old) >= 0.4 * max(6, _high(old)))
+_LONE_HAN = re.compile("[A-Za-z][\u4e00-\u9fff](?:[A-Za-z]|\\W|$)")
+_AS_HAN = _keep_if(lambda old, new: cost(new) < 0.2 * len(new) and not _LONE_HAN.search(new), lambda old: len(old) >= 6 and cost(old) >= 0.4 * max(6, _high(old)))
 _AS_CYRILLIC = _keep_if(_cyrillic, lambda old: len(old) >= 4 and cost(old) > 0.15 * _high(old))
 _AS_LATIN = _keep_if(lambda old, new: cost(new) <= 0.5 * cost(old) and all(c < "\x80" or c in "’“”–—…«»" or c in _SOUND_ACCENTS for c in new),
                      lambda old: cost(old) >= 0.9 * _high(old) and bool(re.search("[a-z]{2}", old)) and not any(c.isspace() for c in old if c >= "\x80"))
@@ -170,21 +172,70 @@ def _damaged(t: str) -> bool:
     return False
 
 
-def _layer(t: str) -> str:
-    """The cheapest text one round trip away, or ``t``."""
-    best, least = t, cost(t) - MARGIN
-    tries = [lambda e=e: _UTF8[e].sub(_AS_UTF8(e, "utf-8"), t) for e in SINGLE if _UTF8[e].search(t)]
-    tries += [lambda e=e, m=m: _HAN_RUN[e].sub(_AS_HAN(e, m), t) for e, m in TO_HAN]
-    tries += [lambda e=e, m=m: _WORD_RUN[e].sub(_AS_CYRILLIC(e, m), t) for e, m in TO_CYRILLIC]
-    tries += [lambda e=e, m=m: _WORD_RUN[e].sub(_AS_LATIN(e, m), t) for e, m in TO_LATIN]
+def _whole(t: str) -> str:
+    """The cheapest strict reading of the whole line under one pair of encodings; UTF-8 goes first, as hardly anything else is valid UTF-8. The line itself where none is cheaper."""
+    best, k = t, cost(t)
+    least = k - MARGIN
+    for pairs, test in ((((e, "utf-8") for e in SINGLE), lambda new: True), (TO_HAN, lambda new: cost(new) < 0.2 * len(new) and not _LONE_HAN.search(new)), (TO_CYRILLIC, lambda new: _cyrillic(t, new)),
+                        (TO_LATIN, lambda new: cost(new) <= 0.5 * k and all(c < "\x80" or c in "’“”–—…«»" or c in _SOUND_ACCENTS for c in new) and not any(c.isspace() for c in t if c >= "\x80"))):
+        for enc, meant in pairs:
+            new = _decoded(_bytes(t, enc), meant)
+            if new is not None and new != t and (c := cost(new)) < least and test(new):
+                best, least = new, c
+        if best != t:
+            break
+    return best
+
+
+def _utf8_stretches(t: str, e: str) -> tuple[str, bool]:
+    """(text with the UTF-8 stretches read right, whether signs of lost bytes stay): few other signs beyond ASCII in a line that is otherwise such stretches are what is left of damaged ones."""
+    new = _UTF8[e].sub(_AS_UTF8(e, "utf-8"), t)
+    if new == t:
+        return t, False
+    new = _UTF8[e].sub(_AS_UTF8(e, "utf-8", 0.0), t)
+    rest = _high(_UTF8[e].sub("", t))
+    return new, 0 < rest <= 0.1 * _high(t)
+
+
+def _layer(t: str, only_utf8: bool) -> tuple[str, bool, bool, bool]:
+    """(the cheapest text one round trip away, or ``t``; whether bytes are seen to be lost; whether single stretches were UTF-8; whether stretches were repaired)."""
+    best = _whole(t)
+    if best != t:
+        return best, False, False, False
+    least, lost, utf8 = cost(t) - MARGIN, False, False
+    for e in SINGLE:
+        if _UTF8[e].search(t):
+            new, left = _utf8_stretches(t, e)
+            if new != t and (k := cost(new)) < least:
+                best, least, lost, utf8 = new, k, left, True
+                if not _ODD.search(new):
+                    return best, lost, True, True
+    if only_utf8:
+        return best, lost, utf8, True
+
+    def stretches(pattern: dict, how, e: str, m: str) -> str:
+        new = pattern[e].sub(how(e, m), t)
+        return pattern[e].sub(how(e, m, 0.0), t) if new != t else t
+    tries = [lambda e=e, m=m: stretches(_HAN_RUN, _AS_HAN, e, m) for e, m in TO_HAN]
+    tries += [lambda e=e, m=m: stretches(_WORD_RUN, _AS_CYRILLIC, e, m) for e, m in TO_CYRILLIC]
+    tries += [lambda e=e, m=m: stretches(_WORD_RUN, _AS_LATIN, e, m) for e, m in TO_LATIN]
     tries += [lambda e=e, m=m: _wide(e, m, t) for e, m in WIDE]
     for f in tries:
         new = f()
         if new != t and (k := cost(new)) < least:
-            best, least = new, k
+            best, least, lost, utf8 = new, k, False, False
             if not (_ODD.search(new) or _LOSS.search(new)):
                 break  # sound text: no other reading can be better by more than trifles
-    return best
+    return best, lost, utf8, True
+
+
+# what a repaired line should not hold any more: rare signs, letters of another script inside a Latin word, capitals inside a Cyrillic one
+_LEFT = re.compile("[A-Za-z][\u0370-\u04ff\u2500-\u25ff]|[\u0370-\u04ff\u2500-\u25ff][A-Za-z]|[\x80-\x9f]|[а-яё][А-ЯЁЀ-ЏҐ]|[\u4e00-\u9fff][\u00b8-\u00ba\u00bc-\u024f]|[\u00b8-\u00ba\u00bc-\u024f][\u4e00-\u9fff]|[а-яё]?[ѓ-џґ†‡‰‹€]|‚[À-ÿŒœ]")
+
+
+def _left_over(t: str) -> bool:
+    """Whether a repaired line still holds characters out of place."""
+    return bool(_LEFT.search(t) or _ODD.search(t)) or any(c >= "\x80" and char_cost(c) >= 0.6 for c in t)
 
 
 _LOSS = re.compile("\ufffd|锟斤|斤拷")
@@ -200,7 +251,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
     """(text given back, whether it was garbled, whether all of it was restored).
 
     Null and empty texts are sound. Rare letters, other scripts, look-alikes and symbols that do not
-    round-trip to cheaper text are sound. Repeats up to ``LAYERS`` nested layers.
+    round-trip to cheaper text are sound. Nested layers are undone as long as the cost drops, so the loop ends.
     """
     if not text or text.isascii() or not (_ODD.search(text) or _LOSS.search(text)):
         return text, False, True
@@ -208,15 +259,13 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
     for i, t in enumerate(lines):
         if t.isascii() or not (_ODD.search(t) or _LOSS.search(t)):
             continue
-        for _ in range(LAYERS):
-            new = _layer(t)
-            if new == t:
-                break
-            t = new
+        utf8 = stretches = False
+        while (step := _layer(t, utf8))[0] != t:
+            t, lost, utf8, stretches = step[0], lost or step[1], utf8 or step[2], stretches or step[3]
             if not _ODD.search(t):
                 break
+        lost = lost or bool(_LOSS.search(t)) or _damaged(t) or (stretches and _left_over(t))
         lines[i] = t
-        lost = lost or bool(_LOSS.search(t)) or _damaged(t)
     t = "\n".join(lines)
     return t, t != text or lost, not lost
 
