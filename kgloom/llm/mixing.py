@@ -2,24 +2,29 @@
 
 The tokens of a source, in a pseudorandom document order, are packed into blocks of fixed length.
 The mixture is drawn in whole blocks: its size is the largest for which every source can give its
-share without any block being used more than the source's cap. Source counts of the output
-shards are multinomial draws conditioned on the totals, so shares are met exactly up to one block. Slot k
-of a source maps to block perm(k mod N) of pass k div N, perm being an index permutation of
-the pass, and slots join blocks by index.
+share without any block being used more than the source's cap. Each output shard draws its source counts from a
+multinomial whose weights are what every source still has to give; a count beyond that is drawn anew among the
+others, so the last shard takes what is left and the shares are met up to one block. Slot k
+of a source maps to block perm(k mod N) of pass k div N, perm being a keyed Feistel permutation of the index,
+another one in each pass, and slots join blocks by index.
 
 Offsets come from a two-level prefix sum over hash buckets, so a source holding most rows is no hot
-task. Only one row per source, and sources x shards draws, ever reach the driver.
+task. Slots are made in pieces of bounded length in parallel. Only one row per source, and sources x shards draws, ever reach the driver.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.llm.tokenizer import VOCABULARY, count_tokens
 from kgloom.sources.writers import materialise
 
-BLOCK, BUCKETS, SHARDS, SEED = 256, 256, 64, 20240607
+# tokens of a block; hash buckets of the prefix sum; shards at least, and blocks of a shard at most; slots made together
+BLOCK, BUCKETS, SHARDS, SHARD_BLOCKS, PIECE, SEED = 256, 256, 64, 1 << 20, 1 << 16, 20240607
 
 
 def sized_documents(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -34,7 +39,7 @@ def packed_offsets(sizes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     sums = b.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows a source
     base = sums.select("source", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
-    v = Window.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    v = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return b.join(base.hint("merge"), ["source", "bucket"]).withColumn("first", F.col("base") + F.coalesce(F.sum("n_tokens").over(v), F.lit(0))).drop("base", "bucket")
 
 
@@ -51,45 +56,61 @@ def plan(totals: list[tuple[str, float, int, int]], block: int = BLOCK, seed: in
     for i in sorted(range(len(live)), key=lambda i: take[i] - ideal[i])[:max(0, total - sum(take))]:
         if take[i] < live[i][2] * live[i][4]:
             take[i] += 1
-    rng, out = np.random.default_rng(seed), []
-    for (s, p, c, n, nb), k in zip(live, take):
-        step = int(nb * (0.38 + 0.24 * rng.random())) or 1
-        step = min(step, 9_000_000_000_000_000_000 // max(nb, 1))
-        while np.gcd(step, nb) != 1:
-            step += 1
-        out.append({"source": s, "take": k, "n_blocks": nb, "step": step, "shift": int(rng.integers(nb))})
-    return out
+    return [{"source": s, "take": k, "n_blocks": nb} for (s, p, c, n, nb), k in zip(live, take)]
 
 
 def shard_draws(rows: list[dict], shards: int = SHARDS, seed: int = SEED) -> list[tuple[int, str, int]]:
-    """(shard, source, blocks): multinomial draws conditioned on each source's total (multivariate hypergeometric, shard by shard)."""
+    """(shard, source, blocks): multinomial draws weighted by what each source still has to give; what exceeds that is drawn anew."""
     rng, left = np.random.default_rng(seed + 1), np.array([r["take"] for r in rows], np.int64)
     out, total = [], int(left.sum())
     for k in range(shards):
-        size = total * (k + 1) // shards - total * k // shards
-        if left.sum() < 900_000_000:
-            got = rng.multivariate_hypergeometric(left, size, method="marginals")
-        else:  # so many blocks that drawing with or without replacement is the same but for the clip
-            got = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            for i in np.argsort(got - left):
-                got[i] += min(left[i] - got[i], size - got.sum())
-        left = left - got
+        size, got = total * (k + 1) // shards - total * k // shards, np.zeros(len(rows), np.int64)
+        while size:
+            new = np.minimum(rng.multinomial(size, left / left.sum()), left)
+            got, left, size = got + new, left - new, size - int(new.sum())
         out += [(k, r["source"], int(g)) for r, g in zip(rows, got)]
     return out
 
 
-def slots(spark, rows: list[dict], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(shard, source, block): one row per drawn slot, made in parallel from the draws."""
+def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """Keyed permutation of 0..n-1: four Feistel rounds over the next even power of two, walked until inside."""
+    half = np.uint64(((max(n - 1, 1)).bit_length() + 1) // 2)
+    mask = np.uint64((1 << int(half)) - 1)
+
+    def walk(x: np.ndarray) -> np.ndarray:
+        a, b = x >> half, x & mask
+        for k in range(4):
+            f = (b + np.uint64((key * 4 + k) % (1 << 63))) * np.uint64(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            a, b = b, a ^ ((f ^ (f >> np.uint64(32))) & mask)
+        return (a << half) | b
+    y = walk(i.astype(np.uint64))
+    while (out := y >= np.uint64(n)).any():
+        y[out] = walk(y[out])
+    return y.astype(np.int64)
+
+
+def slots(spark, rows: list[dict], shards: int = SHARDS, seed: int = SEED, piece: int = PIECE) -> DataFrame:
+    """(shard, source, block): one row per drawn slot, made in parallel from the draws in pieces of at most ``piece`` slots."""
     draws, at = [], {r["source"]: 0 for r in rows}
-    by = {r["source"]: r for r in rows}
-    for k, s, g in shard_draws(rows, shards, seed):
+    by = {r["source"]: (r["n_blocks"], k) for k, r in enumerate(rows)}
+    for k, s, g in shard_draws(rows, max(shards, -(-sum(r["take"] for r in rows) // SHARD_BLOCKS)), seed):
         if g:
-            draws.append((k, s, at[s], g, by[s]["n_blocks"], by[s]["step"], by[s]["shift"]))
+            draws.append((k, s, at[s], at[s] + g, *by[s]))
             at[s] += g
-    d = spark.createDataFrame(draws, "shard INT, source STRING, lo BIGINT, n BIGINT, nb BIGINT, step BIGINT, shift BIGINT").repartition(max(1, min(len(draws), shards)), "shard", "source")
-    k = d.select("shard", "source", "nb", "step", "shift", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("k"))
-    walk = F.pmod(F.col("k") % F.col("nb") * F.col("step") + F.col("shift") + (F.col("k") / F.col("nb")).cast("bigint") * 7919, F.col("nb"))
-    return k.select("shard", "source", walk.alias("block"))
+    d = spark.createDataFrame(draws, "shard INT, source STRING, lo BIGINT, hi BIGINT, nb BIGINT, key INT")
+    d = d.withColumn("lo", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(piece).cast("bigint")))).withColumn("hi", F.least("hi", F.col("lo") + piece))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for r in b.to_pylist():
+                k = np.arange(r["lo"], r["hi"])
+                block = np.empty(len(k), np.int64)
+                for p in np.unique(k // r["nb"]):
+                    here = k // r["nb"] == p
+                    block[here] = permuted(k[here] % r["nb"], r["nb"], seed + 1_000_003 * r["key"] + 7919 * int(p))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r["shard"], np.int32)), pa.array([r["source"]] * len(k), pa.string()), pa.array(block)], ["shard", "source", "block"])
+    return d.repartition(max(1, min(len(draws), shards)), "shard", "source", "lo").mapInArrow(run, "shard int, source string, block bigint")
 
 
 def _prepared(docs: DataFrame, targets: DataFrame, block: int, vocabulary: str, blocks: int | None) -> tuple[DataFrame, list[dict], list]:

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,23 @@ def test_canonical(spark):
     assert got == {("kb_name", "1", 0): 1, ("mention", "2", 0): 1, ("kb_name", "3", 0): 0, ("mention", "5", 0): 0, ("aliases", "E", 0): 2, ("aliases", "E", 1): 0}
 
 
+def test_mixing_draws_and_permutation():
+    rows = [{"source": s, "take": k, "n_blocks": 7} for s, k in (("a", 5000), ("b", 300), ("c", 1))]
+    d = mixing.shard_draws(rows)
+    assert {s: sum(g for _, t, g in d if t == s) for s in "abc"} == {"a": 5000, "b": 300, "c": 1} and len({sum(g for k, _, g in d if k == n) for n in range(64)}) <= 2
+    for n in (1, 2, 3, 17, 1000, 4097):
+        p = mixing.permuted(np.arange(n), n, 5)
+        assert sorted(p.tolist()) == list(range(n)) and (n < 100 or (p != mixing.permuted(np.arange(n), n, 6)).mean() > 0.9)
+    step = np.diff(mixing.permuted(np.arange(4097), 4097, 5))
+    assert len(set(step.tolist())) > 2000  # no fixed stride
+
+
+def test_slots(spark):
+    rows = [{"source": "a", "take": 25, "n_blocks": 10}, {"source": "b", "take": 4, "n_blocks": 4}]
+    got = collections.Counter((r.source, r.block) for r in mixing.slots(spark, rows, shards=3, piece=2).collect())
+    assert sum(n for (s, _), n in got.items() if s == "a") == 25 and all(2 <= got["a", b] <= 3 for b in range(10)) and all(got["b", b] == 1 for b in range(4))
+
+
 def test_mixing(spark):
     docs = spark.createDataFrame([(i, "words of a document " * (3 + i % 7), "a" if i % 3 else "b" if i % 2 else None) for i in range(200)] + [(900, None, "a"), (901, "", "b")], "doc_id long, text string, source string")
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3), ("none", 0.0, 1)], "source string, target_share double, max_repeats int")
@@ -137,3 +155,17 @@ def test_mixing(spark):
     sh = {r.source: r for r in mixing.shares(docs, t, block=16).collect()}
     assert {s: sh[s].tokens_drawn for s in cap} == used and abs(sh["a"].actual_share - 0.5) < 0.02
     assert mixing.mix(docs.limit(0), t).count() == 0
+
+
+def test_lost_bytes_are_not_restored():
+    """UTF-8 read in a one-byte encoding, then one character of it lost, wherever that is: the original cannot be had."""
+    zh = "1907年10月，凯瑟琳·泰勒穆奈努在学生的坚持下放弃了铁路信号的图纸。"
+    ru = "Осенью 1900 года Norojanhensa поступил в университет и переписал таблицу приливов."
+    fr = "Après 1975, l’institut créa une chaire ; Sanbilorvehi préféra la théorie et déjà rédigé à Genève."
+    for text, encodings in ((zh, ("cp1252", "latin-1", "mac_roman", "cp1251", "koi8-r")), (ru, ("cp1251", "latin-1", "cp1252")), (fr, ("latin-1", "cp1252", "cp1251"))):
+        for e in encodings:
+            bad = "".join(mojibake._TABLES[e][b] for b in text.encode())
+            assert mojibake.repair(bad) == (text, True, True), (e, text)
+            for i in [i for i, c in enumerate(bad) if c >= "\x80"]:
+                got, garbled, restored = mojibake.repair(bad[:i] + bad[i + 1:])
+                assert garbled and not restored, (e, i, got)
