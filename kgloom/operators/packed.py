@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.sources.writers import materialise
+
 CANDIDATES = {"pipe": "|", "wide_pipe": "｜", "semicolon": ";", "wide_semicolon": "；", "comma": ",", "wide_comma": "，", "list_comma": "、", "tab": "\t",
               "newline": "\n", "slash": "/"}
 QUOTES = [('"', '"'), ("“", "”"), ("「", "」"), ("『", "』")]
@@ -91,6 +93,7 @@ def delimiter_profile(long: DataFrame, known: float = KNOWN) -> DataFrame:
     n = F.when((F.col("x.at") == 0) & (F.col("x.pieces") > 1), F.col("x.pieces").cast("double"))
     t = base.select("source", "field", F.explode(every).alias("x")).groupBy("source", "field", "x.delimiter", "x.type").agg(
         F.count("*").alias("n"), F.sum((F.col("x.at") == 0).cast("int")).alias("cells"), F.count(n).alias("k"), F.sum(n).alias("s1"), F.sum(n * n).alias("s2"))
+    t = materialise(t, "types")  # a row per source, candidate and type; read four times below
     single = t.where("delimiter IS NULL").select("source", "field", "type", "n")
     most = single.groupBy("source", "field").agg(F.sum("n").alias("all"))
     types = single.join(most, ["source", "field"]).where(F.col("n") >= known * F.col("all")).select("source", "type", F.lit(1).alias("good")).distinct()
