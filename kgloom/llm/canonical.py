@@ -1,7 +1,7 @@
 """Problem 4: mapping free-entered values to a canonical list. SQL only.
 
 A value is brought to its core: marks, blanks, brackets and quotes cut, packed alternatives parted,
-kind words (those frequent in the list itself: Castle, Theorem, 镇, 定理) and their abbreviations,
+kind words (those that stand in a share of the list's own entries: Castle, Theorem, 镇, 定理) and their abbreviations,
 articles and place qualifiers dropped. Cores of the list are cut into K+1 segments; a value within K edits must
 hold one of them nearly in place, so an equality join on (length, segment number, substring) finds
 every candidate, and Spark's ``levenshtein`` verifies it. Values without an entry come out through an
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# share of the list's entries in which a word or ending is a kind (Castle, 镇), and in which an ending is the longest such one
+WORD_SHARE, ENDING_SHARE = 0.015, 0.0125
 K = 2  # edits allowed in a core of at least 8 letters; shorter cores allow one edit or one swap of neighbours
 
 CLEAN = r"""
@@ -23,14 +25,18 @@ regexp_replace(regexp_replace(regexp_replace(regexp_replace({v},
 PLAIN = "translate(lower({v}), 'àâäáãåçèéêëìíîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 
 STEPS = {
-    # kind words and kind endings: words of the list's own names that stand in many of them
-    "kind_words": "SELECT w FROM (SELECT explode(split(lower(name_en), ' ')) AS w FROM ref_entries) WHERE w <> '' GROUP BY w HAVING count(*) >= 4",
+    # kind words and kind endings: words of the list's own names that stand in many of them, by share of the list and in three entries at least
+    "entries": "SELECT count(DISTINCT ref_id) AS n FROM ref_entries",
+    "kind_words": f"""
+        SELECT w FROM (SELECT DISTINCT ref_id, explode(split(lower(name_en), ' ')) AS w FROM ref_entries) WHERE w <> ''
+        GROUP BY w HAVING count(*) >= (SELECT greatest(3, {WORD_SHARE} * n) FROM entries)""",
+    "endings": "SELECT DISTINCT ref_id, right(name, n) AS e, n FROM (SELECT ref_id, name, explode(sequence(1, 4)) AS n FROM ref_entries WHERE name IS NOT NULL) WHERE length(name) > n + 1",
     # an ending counts where it is the longest frequent one of the name, so a letter that merely closes longer endings is none
-    "frequent_endings": """
-        SELECT e FROM (SELECT ref_id, right(name, n) AS e FROM (SELECT ref_id, name, explode(sequence(1, 4)) AS n FROM ref_entries WHERE name IS NOT NULL) WHERE length(name) > n + 1)
-        GROUP BY e HAVING count(DISTINCT ref_id) >= 5""",
-    "kind_endings": """
-        SELECT e FROM (SELECT r.ref_id, max_by(f.e, length(f.e)) AS e FROM ref_entries r JOIN frequent_endings f ON endswith(r.name, f.e) GROUP BY r.ref_id) GROUP BY e HAVING count(*) >= 3""",
+    "frequent_endings": f"SELECT e FROM endings GROUP BY e HAVING count(*) >= (SELECT greatest(3, {WORD_SHARE} * n) FROM entries)",
+    "kind_endings": f"""
+        SELECT e FROM (SELECT a.ref_id, max_by(a.e, a.n) AS e FROM endings a JOIN frequent_endings f ON a.e = f.e GROUP BY a.ref_id)
+        GROUP BY e HAVING count(*) >= (SELECT greatest(3, {ENDING_SHARE} * n) FROM entries)""",
+    # one row; a share of the list bounds both arrays to some hundreds, whatever its length
     "kinds": "SELECT coalesce((SELECT collect_list(w) FROM kind_words), array()) AS words, coalesce((SELECT collect_list(e) FROM kind_endings), array()) AS endings",
     "vals": """
         SELECT 'kb_name' AS field, CAST(mention_id AS STRING) AS row_id, 0 AS pos, kb_name AS v FROM linked_mentions
