@@ -4,21 +4,25 @@ Noisy-channel attribution. Every spelling (names and aliases of the knowledge ba
 a core (surname, or the proper word of an organisation) and the rest (given names, initials, nicknames;
 the kind of organisation). The parser undoes what people do by rule: order, titles, dots, initials,
 nicknames, abbreviations, case, look-alikes. Typing errors are undone by attribution: each core is
-attached to the spelling of maximum posterior among itself and the cores one edit away, prior = how often a core
-is written anywhere, likelihood = a fixed cost per edit; candidates meet on one-letter-deletion keys.
+attached to the spelling of maximum posterior among itself and the cores one edit away; candidates meet on one-letter-deletion keys.
+The prior is how often a core is written anywhere. The likelihood that a core written m times gives this spelling by an edit is the rate of
+that kind of edit (learnt from the spellings that one record of the knowledge base holds side by side) over the number of
+such edits a core of that length allows; against it stands the chance that one of the known cores has this spelling of itself, from the entropy
+of the script's letters (learnt from the cores). So long cores are attributed and short ones only where the counts speak for it. An
+abbreviated form (initials, bare core, short form of a kind) is attached where one being alone gives it, that is with posterior 1.
 
 A being is (type, script, core, first given name, further given names) or (type, script, core, kind).
 Incomplete forms go to the only being they fit. Records that share a being in either script are
 connected, also through third records, by iterated minimum labels.
 
-Lexica (given names, their counterparts in the other script) are learnt from the knowledge base; a token enters
-with at least ``SHARE`` of all names, so they have at most a few thousand entries whatever the size.
+Lexica (given names, their counterparts in the other script) are learnt from the knowledge base; a token enters on evidence of its own:
+seen before at least ``LEAST`` different last tokens, more often before than last, and not one edit from a token seen with
+``RARER`` times as many. Their size is that of a language's stock of given names, whatever the size of the base.
 """
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,8 +32,7 @@ from pyspark.sql import types as T
 from kgloom.llm.lookalike import consistent
 from kgloom.sources.writers import materialise
 
-SHARE, LEAST = 0.001, 3
-EDIT_COST = 0.0  # log-likelihood of an edit beside the prior; 0: a core one edit away wins when it is written more often
+LEAST, RARER = 3, 10
 # English short forms and the names they stand for
 NICKNAMES = """abby abigail; abbie abigail; gail abigail; charlie charles; chuck charles; chas charles; dot dorothy; dottie dorothy; dolly dorothy; beth elizabeth; liz elizabeth; lizzie elizabeth; betty elizabeth;
 eliza elizabeth; fred frederick; freddie frederick; freddy frederick; gaby gabrielle; gabby gabrielle; harry harold; hal harold; iggy ignatius; ig ignatius; joe joseph; joey joseph; kate katherine;
@@ -203,16 +206,37 @@ def parse(spellings: DataFrame, given: dict[str, str]) -> DataFrame:
     return spellings.withColumn("p", F.pandas_udf(run, PARSED)("type", "raw")).select("*", "p.*").drop("p").where("core IS NOT NULL")
 
 
+def _deletion_keys(c: str):
+    """Column of the spelling and all spellings with one letter less."""
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))))
+
+
+def _one_edit(a: str, b: str):
+    """The kind of the one edit between two spellings: swap, substitution, letter more or less; null if it takes more."""
+    d = F.levenshtein(F.col(a), F.col(b))
+    swap = (d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))  # shared deletion key: neighbours swapped
+    return F.when(swap, "swap").when((d == 1) & (F.length(a) == F.length(b)), "other").when(d == 1, "length")
+
+
+@F.pandas_udf(T.StringType())
+def plain_udf(x: pd.Series) -> pd.Series:
+    return pd.Series([plain(v) for v in x], dtype=object)
+
+
 def lexicon(kb: DataFrame) -> dict[str, str]:
     """Given names of both scripts with their Latin name, from the knowledge base's persons."""
-    spell = F.udf(lambda x: plain(x), T.StringType())
     per = kb.where("type = 'PER'").select("entity_id", F.explode(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("raw"))
-    per = per.where(F.col("raw").rlike(r"^[\p{L}\p{M}]+(?:[ ·][\p{L}\p{M}]+){1,3}$")).distinct().select("entity_id", F.split(spell("raw"), "[ ·]").alias("t")).withColumn("han", F.col("t")[0].rlike("[一-鿿]"))
+    per = per.where(F.col("raw").rlike(r"^[\p{L}\p{M}]+(?:[ ·][\p{L}\p{M}]+){1,3}$")).distinct().select("entity_id", F.split(plain_udf("raw"), "[ ·]").alias("t")).withColumn("han", F.col("t")[0].rlike("[一-鿿]"))
     per = materialise(per.distinct(), "names")
-    n = {r.han: r["count"] for r in per.groupBy("han").count().collect()}
-    tok = per.select("han", F.explode(F.slice("t", 1, F.size("t") - 1)).alias("g"), F.element_at("t", -1).alias("core")).groupBy("han", "g").agg(F.count_distinct("core").alias("n"))
-    lim = reduce(lambda a, h: F.when(F.col("han") == h, F.lit(max(LEAST, SHARE * n[h]))).otherwise(a), n, F.lit(float(LEAST)))
-    frequent = [(r.han, r.g) for r in tok.where(F.col("n") >= lim).select("han", "g").collect() if len(r.g) > 1 and r.g not in NICK]  # at most 3/SHARE rows a script
+    last = F.element_at("t", -1)
+    seen = per.select("han", F.explode(F.slice("t", 1, F.size("t") - 1)).alias("g"), last.alias("core")).groupBy("han", "g").agg(F.count_distinct("core").alias("n"))
+    at_end = per.select("han", last.alias("g"), F.explode(F.slice("t", 1, F.size("t") - 1)).alias("o")).groupBy("han", "g").agg(F.count_distinct("o").alias("k"))
+    tok = seen.where((F.col("n") >= LEAST) & (F.length("g") > 1)).join(at_end, ["han", "g"], "left").where("n > coalesce(k, 0)").select("han", "g", "n")
+    tok = materialise(tok, "tokens")
+    keyed = tok.withColumn("key", F.explode(_deletion_keys("g")))
+    often = keyed.select("han", "key", F.col("g").alias("o"), F.col("n").alias("m"))
+    typos = keyed.join(often, ["han", "key"]).where((F.col("m") >= RARER * F.col("n")) & _one_edit("g", "o").isNotNull()).select("han", "g").distinct()
+    frequent = [(r.han, r.g) for r in tok.join(typos, ["han", "g"], "left_anti").select("han", "g").collect() if r.g not in NICK]  # a language's given names
     latin = {g for h, g in frequent if not h}
     both = per.where("han").alias("a").join(per.where("NOT han").alias("b"), (F.col("a.entity_id") == F.col("b.entity_id")) & (F.size("a.t") == F.size("b.t")))
     both = both.select(F.explode(F.arrays_zip(F.col("a.t").alias("z"), F.col("b.t").alias("l"))).alias("x")).groupBy("x").agg(F.count("*").alias("n")).select(F.col("x.z").alias("z"), F.col("x.l").alias("l"), "n")
@@ -221,18 +245,36 @@ def lexicon(kb: DataFrame) -> dict[str, str]:
     return {g: (to.get(g, g) if h else g) for h, g in frequent}
 
 
-def attributed(cores: DataFrame) -> DataFrame:
+def channel(spelt: DataFrame, cores: DataFrame) -> DataFrame:
+    """(script, kind, rate, entropy, letters, known): a row per script and kind of edit.
+
+    ``spelt`` (entity_id, type, script, core): what one record holds side by side; ``rate`` is the share of these cores that stand one such edit from
+    another of their record (half an edit is added, so an unseen kind is rare, not impossible). ``entropy`` and ``letters`` of a script's cores; ``known`` distinct cores.
+    """
+    k = spelt.distinct().withColumn("key", F.explode(_deletion_keys("core")))
+    pairs = k.join(k.withColumnRenamed("core", "other"), ["entity_id", "type", "script", "key"]).where("core < other").select("entity_id", "type", "script", "core", "other").distinct()
+    pairs = pairs.withColumn("kind", _one_edit("core", "other")).where("kind IS NOT NULL").groupBy("script", "kind").agg(F.count("*").alias("edits"))
+    all_ = spelt.distinct().groupBy("script").agg(F.count("*").alias("n"))
+    f = cores.select("script", F.explode(F.split("core", "")).alias("c")).where("c <> ''").groupBy("script", "c").agg(F.count("*").alias("n"))
+    h = f.join(f.groupBy("script").agg(F.sum("n").alias("all")), "script").groupBy("script").agg((-F.sum(F.col("n") / F.col("all") * F.log(F.col("n") / F.col("all")))).alias("entropy"), F.count("*").alias("letters"))
+    known = cores.where("held").groupBy("script").agg(F.count("*").alias("known"))
+    kinds = h.join(known, "script").select("*", F.explode(F.array(F.lit("swap"), F.lit("other"), F.lit("length"))).alias("kind"))
+    return kinds.join(all_, "script").join(pairs, ["script", "kind"], "left").select("script", "kind", ((F.coalesce("edits", F.lit(0)) + 0.5) / (F.col("n") + 1)).alias("rate"), "entropy", "letters", "known")
+
+
+def attributed(cores: DataFrame, noise: DataFrame) -> DataFrame:
     """(type, script, core, canon): each core of (type, script, core, n, held) attached to its maximum posterior among held cores one edit away and itself."""
-    long = F.when(F.col("script") == "han", 3).otherwise(6)
-    keyed = cores.where(F.length("core") >= long).withColumn("key", F.explode(F.array_distinct(F.concat(F.array("core"), F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", 1, i - 1), F.substring("core", i + 1, F.length("core"))))))))
+    keyed = cores.where(F.length("core") >= 2).withColumn("key", F.explode(_deletion_keys("core")))
     a, b = keyed.alias("a"), keyed.where("held").alias("b")
     p = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.script") == F.col("b.script")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.core") != F.col("b.core")))
     p = p.select("a.type", "a.script", "a.core", F.col("a.n").alias("n"), F.col("a.held").alias("held"), F.col("b.core").alias("other"), F.col("b.n").alias("m")).distinct()
-    swap = (F.levenshtein("core", "other") == 2) & (F.array_sort(F.split("core", "")) == F.array_sort(F.split("other", "")))  # shared deletion key: neighbours swapped
-    p = p.where((F.levenshtein("core", "other") <= 1) | swap)
-    # a core the knowledge base lacks has no being of its own, so any held neighbour beats it
-    p = p.where(~F.col("held") | (F.log("m") - EDIT_COST > F.log("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("core"))))
-    best = p.groupBy("type", "script", "core").agg(F.max_by("other", F.struct("m", "other")).alias("other"))
+    p = p.withColumn("kind", _one_edit("core", "other")).where("kind IS NOT NULL").join(noise, ["script", "kind"])
+    edits = F.when(F.col("kind") == "swap", F.length("core") - 1).otherwise(F.length("core") * F.col("letters"))
+    by_edit = F.log("m") + F.log("rate") - F.log(edits)
+    of_itself = F.log("known") - F.length("core") * F.col("entropy")
+    # a core the knowledge base lacks has no being of its own; of two it holds, the one written more often may be meant by the other
+    p = p.where((by_edit > of_itself) & (~F.col("held") | (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("core")))))
+    best = p.groupBy("type", "script", "core").agg(F.max_by("other", F.struct(by_edit, "other")).alias("other"))
     return cores.join(best, ["type", "script", "core"], "left").select("type", "script", "core", F.coalesce("other", "core").alias("canon"))
 
 
@@ -293,7 +335,8 @@ def linked_records(kb: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataF
     counts = counts.join(k.select("type", "raw").distinct().withColumn("held", F.lit(True)), ["type", "raw"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     parsed = materialise(parse(counts, lexicon(kb)), "spellings")
     cores = parsed.groupBy("type", "script", "core").agg(F.sum("n").alias("n"), F.max("held").alias("held"))
-    canon = attributed(cores)
+    side_by_side = k.join(parsed.where("held"), ["type", "raw"]).select("entity_id", "type", "script", "core")
+    canon = attributed(cores, materialise(channel(side_by_side, cores), "channel"))
     spelt = parsed.join(canon, ["type", "script", "core"])
     forms = spelt.groupBy("type", "script", "canon", "first", "more").agg(F.max("held").alias("held"))
     being = resolved(forms)

@@ -113,6 +113,28 @@ def test_name_parser():
     assert variants.near("abcd", "abdc") and variants.near("abc", "ab") and not variants.near("abcd", "badc")
 
 
+def test_lexicon_goes_by_evidence_of_each_token(spark):
+    """A given name of five in 6000 names is one (a share of all names would refuse it); a surname, a rare token and a typing error of a frequent name are none."""
+    rng = random.Random(4)
+    word = lambda n=4: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n)).title()
+    rows = [f"{g} {word()}" for g in ("Robert", "Harold") for _ in range(3000)] + [f"Oswyna {word()}" for _ in range(5)] + [f"Robret {word()}" for _ in range(4)] + [f"Lonely {word()}"]
+    rows += [f"{g} Rossbon" for g in ("Robert", "Harold", "Oswyna")] + [f"Rossbon {g}" for g in ("Robert", "Harold")]
+    kb = spark.createDataFrame([(f"E{i}", "PER", r, None) for i, r in enumerate(rows)] + [("E", "PER", None, ["Harold"])], "entity_id string, type string, name string, aliases array<string>")
+    got = variants.lexicon(kb)
+    assert {"robert", "harold", "oswyna"} <= set(got) and not {"robret", "lonely", "rossbon"} & set(got)
+
+
+def test_attribution_weighs_edits_against_chance(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    names = {word(5) for _ in range(400)} | {"sanderbilo", "ken"}
+    rows = [("PER", "latin", x, 30, True) for x in names] + [("PER", "latin", "sandrebilo", 2, True), ("PER", "latin", "sanderbilop", 1, False), ("PER", "latin", "kon", 2, True), ("PER", "latin", "kem", 1, True)]
+    cores = spark.createDataFrame(rows, "type string, script string, core string, n long, held boolean")
+    spelt = spark.createDataFrame([(f"E{i}", "PER", "latin", x) for i, x in enumerate(sorted(names))] + [("E1", "PER", "latin", sorted(names)[1] + "x")], "entity_id string, type string, script string, core string")
+    got = {r.core: r.canon for r in variants.attributed(cores, variants.channel(spelt, cores)).collect()}
+    assert got["sandrebilo"] == got["sanderbilop"] == "sanderbilo" and got["kon"] == "kon" and got["kem"] == "kem" and len(got) == len(rows)
+
+
 def test_connected(spark):
     e = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(9)] + [("x", "y"), ("x", "y")], "a string, b string")
     got = {r.node: r.label for r in variants.connected(e).collect()}
@@ -128,6 +150,18 @@ def test_canonical(spark):
     assert got == {("kb_name", "1", 0): 1, ("mention", "2", 0): 1, ("kb_name", "3", 0): 0, ("mention", "5", 0): 0, ("aliases", "E", 0): 2, ("aliases", "E", 1): 0}
 
 
+def test_kind_words_go_by_share_of_the_list(spark):
+    """In a long list a word may stand in many entries without being a kind."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5)).title()
+    rows = [(i, None, f"{'North ' if i % 100 == 0 else ''}{word()} {('Town', 'Castle')[i % 2]}") for i in range(1200)]
+    refs = spark.createDataFrame(rows, "ref_id int, name string, name_en string")
+    m = spark.createDataFrame([(1, "x", rows[7][2].lower(), "manual_entry")], "mention_id long, mention string, kb_name string, disambiguation_method string")
+    kb = spark.createDataFrame([], "entity_id string, name string, aliases array<string>")
+    assert [r.ref_id for r in canonical.map_values(m, kb, refs).collect()] == [7]
+    assert {r.w for r in spark.sql("SELECT w FROM kind_words").collect()} == {"town", "castle"}
+
+
 def test_mixing_draws_and_permutation():
     rows = [{"source": s, "take": k, "n_blocks": 7} for s, k in (("a", 5000), ("b", 300), ("c", 1))]
     d = mixing.shard_draws(rows)
