@@ -35,18 +35,28 @@ def once(c: Column, f) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+def running_starts(lengths: Column, chunk: int = 64) -> Column:
+    """Sum of all lengths before each one. Summed in chunks, so that appending never copies a long array."""
+    n = F.ceil(F.size(lengths) / chunk).cast("int")
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    part = lambda k: F.slice(lengths, k * chunk + 1, chunk)
+
+    def fold(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    totals = F.transform(numbers, lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + x))
+    return once(fold(totals, F.lit(0)), lambda starts: F.flatten(F.transform(numbers, lambda k: fold(part(k), starts[k]))))
+
+
 def sentences(docs: DataFrame, *keys: str) -> DataFrame:
     """(keys..., sent_idx, s_start, s_end, sent): cut after each boundary, stripped, blank ones dropped.
 
-    ``s_start`` is where the unstripped sentence begins, in code points. Offsets are folded within the row: no
+    ``s_start`` is where the unstripped sentence begins, in code points. Offsets are summed within the row: no
     shuffle. Null and empty texts give no row.
     """
-    parts = F.regexp_extract_all("text", F.lit(f"[^{R.BOUNDARIES}]*[{R.BOUNDARIES}]|[^{R.BOUNDARIES}]+$"), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int,x:string>>")
-    fold = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-                       lambda a, x: F.struct((a.at + F.length(x)).alias("at"), F.when(strip(x) == "", a.out).otherwise(F.array_append(a.out, F.struct(a.at.alias("s"), (a.at + F.length(x)).alias("e"), strip(x).alias("x")))).alias("out")),
-                       lambda a: a.out)
-    return docs.where("text IS NOT NULL").select(*keys, F.posexplode(fold).alias("sent_idx", "p")).select(*keys, "sent_idx", F.col("p.s").alias("s_start"), F.col("p.e").alias("s_end"), F.col("p.x").alias("sent"))
+    p = docs.where("text IS NOT NULL").select(*keys, F.regexp_extract_all("text", F.lit(f"[^{R.BOUNDARIES}]*[{R.BOUNDARIES}]|[^{R.BOUNDARIES}]+$"), F.lit(0)).alias("_x"))
+    p = p.withColumn("_n", F.transform("_x", F.length)).withColumn("_s", running_starts(F.col("_n"))).withColumn("_t", F.transform("_x", strip))
+    kept = F.filter(F.arrays_zip(F.col("_s").alias("s"), F.col("_n").alias("n"), F.col("_t").alias("x")), lambda z: z["x"] != "")
+    return p.select(*keys, F.posexplode(kept).alias("sent_idx", "p")).select(*keys, "sent_idx", F.col("p.s").alias("s_start"), (F.col("p.s") + F.col("p.n")).alias("s_end"), F.col("p.x").alias("sent"))
 
 
 def sections(docs: DataFrame, *keys: str) -> DataFrame:
@@ -54,51 +64,91 @@ def sections(docs: DataFrame, *keys: str) -> DataFrame:
 
     The body joins non-blank lines with line breaks; sections without body are kept out.
     """
-    lines = F.transform(F.split("text", "\n"), strip)
-    heads = lambda x: (F.length(x) <= 20) & ~x.rlike("[" + "".join("\\" + c if c in "()\"'" else c for c in R.HEADING_STOP) + "]")
-    acc0 = F.struct(F.lit("全文").alias("t"), F.array().cast("array<string>").alias("b"), F.array().cast("array<struct<t:string,b:string>>").alias("out"))
-    close = lambda a: F.when(F.size(a.b) > 0, F.array_append(a.out, F.struct(a.t.alias("t"), F.array_join(a.b, "\n").alias("b")))).otherwise(a.out)
-    step = lambda a, x: F.when(x == "", a).when(heads(x), F.struct(x.alias("t"), F.array().cast("array<string>").alias("b"), close(a).alias("out"))).otherwise(
-        F.struct(a.t.alias("t"), F.array_append(a.b, x).alias("b"), a.out.alias("out")))
-    return docs.where("text IS NOT NULL").select(*keys, F.posexplode(F.aggregate(lines, acc0, step, close)).alias("sec_idx", "s")).select(*keys, "sec_idx", F.col("s.t").alias("title"), F.col("s.b").alias("body"))
+    stop = "[" + "".join("\\" + c if c in "()\"'" else c for c in R.HEADING_STOP) + "]"
+    d = docs.where("text IS NOT NULL").select(*keys, F.transform(F.split("text", "\n"), strip).alias("_l"))
+    head = F.filter(F.transform("_l", lambda x, i: F.when((x != "") & (F.length(x) <= 20) & ~x.rlike(stop), i + 1)), lambda i: i.isNotNull())
+    d = d.withColumn("_h", F.concat(F.array(F.lit(0)), head, F.array(F.size("_l") + 1)))
+    body = lambda i, j: F.array_join(F.filter(F.slice(F.col("_l"), i + 1, j - i - 1), lambda x: x != ""), "\n")
+    parts = F.transform(F.sequence(F.lit(0), F.size("_h") - 2), lambda k: F.struct(F.when(k == 0, "全文").otherwise(F.col("_l")[F.col("_h")[k] - 1]).alias("t"), body(F.col("_h")[k], F.col("_h")[k + 1]).alias("b")))
+    return d.select(*keys, F.posexplode(F.filter(parts, lambda s: s["b"] != "")).alias("sec_idx", "s")).select(*keys, "sec_idx", F.col("s.t").alias("title"), F.col("s.b").alias("body"))
+
+
+def section_offsets(docs: DataFrame, key: str) -> DataFrame:
+    """(key, sec_idx, title, start, end): where each section's body stands, found from the end of the one before; a body that stands nowhere as a whole (blank lines part it) is taken to begin there.
+
+    Null texts give no row; a text without sections is one of its whole length.
+    """
+    t = docs.where("text IS NOT NULL").select(key, F.col("text").alias("_t")).distinct()
+    g = sections(docs.select(key, "text").distinct(), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sec_idx", "title", "body"))).alias("_s"))  # the sections of a text are not longer than the text
+    none = F.array(F.struct(F.lit(0).alias("sec_idx"), F.lit("全文").alias("title"), F.col("_t").alias("body")))
+    j = t.join(g, key, "left").withColumn("_s", F.coalesce("_s", none))
+    acc = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<i:int,t:string,s:int,e:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = F.call_function("locate", x["body"], F.col("_t"), a["at"] + 1)
+        start = F.when(at > 0, at - 1).otherwise(a["at"])
+        end = (start + F.length(x["body"])).cast("int")
+        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(x["sec_idx"].alias("i"), x["title"].alias("t"), start.cast("int").alias("s"), end.alias("e"))).alias("out"))
+    return j.select(key, F.explode(F.aggregate("_s", acc, step, lambda a: a["out"])).alias("s")).select(key, F.col("s.i").alias("sec_idx"), F.col("s.t").alias("title"), F.col("s.s").alias("start"), F.col("s.e").alias("end"))
+
+
+def canonical(c: Column) -> Column:
+    """A spelling's canonical one, by the pack."""
+    out = c
+    for k, v in R.CANONICAL.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
 
 
 def clean_entity(c: Column) -> Column:
-    """Whether a string may be an entity: the ordered rejects of the pack; an acronym is accepted before the long-text rejects."""
-    return once(strip(c), _clean)
+    """Whether a string may be an entity: the ordered rejects of the pack; an acronym is accepted before the long-text rejects. Null is none."""
+    return once(strip(c), lambda x: once(canonical(x), _clean))
 
 
 def _clean(t: Column) -> Column:
     n = F.length(t)
-    acronym = t.rlike(r"^[A-Z][A-Z0-9&.\-]{1,15}$")
-    return (F.when(t.isNull() | (n < 2) | (n > 60), False).when(any_in(t, R.ROLE_CUES) & ~any_start(t, R.TITLE_STARTS), False).when(t.isin(R.STOP + R.GENERIC), False)
-            .when(any_start(t, R.BAD_STARTS), False).when(any_end(t, R.BAD_ENDS), False).when(t.rlike("[\\[\\]{}<>\"、。，；：！？“”‘’（）()']"), False).when(t.rlike("^[0-9]+$"), False)
-            .when(acronym, True).when((n > 10) & t.rlike(R.LONG_LINKS), False).when((n > 12) & t.rlike(R.LONG_LETTERS), False).when((n <= 4) & t.rlike("^[在于对被把将从向因]"), False).otherwise(True))
+    return (F.when(t.isNull() | (n < 2) | (n > 60), False).when(t.isin(R.NOISE), False).when(any_in(t, R.ROLE_CUES) & ~any_start(t, R.TITLE_STARTS), False).when(t.isin(R.STOP + R.GENERIC), False)
+            .when(any_start(t, R.BAD_STARTS), False).when(any_end(t, R.BAD_ENDS), False).when(any_in(t, R.BAD_INSIDE), False).when(t.rlike("[\\[\\]{}<>\"、。，；：！？“”‘’（）()']"), False).when(t.rlike("^[0-9]+$"), False)
+            .when(t.rlike(R.ACRONYM), True).when((n > 10) & t.rlike(R.LONG_LINKS), False).when((n > 12) & t.rlike(R.LONG_LETTERS), False).when((n <= 4) & t.rlike("^[在于对被把将从向因][A-Za-z一-鿿]"), False).otherwise(True))
+
+
+_PUNCT = "，。；：！？、“”‘’（）()\\[\\]{}<>\"' "
+PREFIXES = f"^(?:(?:{'|'.join(R.AFFIX_STARTS)})[{R.BLANKS}]*)+([\\s\\S]{{2,}})$"
+SUFFIXES = f"^([\\s\\S]{{2,}}?)(?:[{R.BLANKS}]*(?:{'|'.join(R.AFFIX_ENDS)}))+$"
+
 
+def normal_term(c: Column) -> Column:
+    """The term without context words at both ends, cut as often as they stand there while two characters stay, and without a leading preposition or 的; in canonical spelling."""
+    t = F.regexp_replace(canonical(strip(c)), f"^[{_PUNCT}]+|[{_PUNCT}]+$", "")
+    t = strip(F.regexp_replace(F.regexp_replace(t, PREFIXES, "$1"), SUFFIXES, "$1"))
+    t = F.regexp_replace(F.regexp_replace(t, "^[在于向对从被把]([一-鿿A-Za-z]{2,})", "$1"), "^的([一-鿿A-Za-z]{2,})", "$1")
+    return once(t, canonical)
 
-def normal_term(c: Column, rounds: int = 8) -> Column:
-    """Strips context words at both ends until nothing changes, at most ``rounds`` times (more than two affixes at an end are rare, eight deep unseen)."""
-    starts, ends = "|".join(R.AFFIX_STARTS), "|".join(R.AFFIX_ENDS)
 
-    def cut(x: Column) -> Column:
-        return strip(F.regexp_replace(F.regexp_replace(x, f"^(?:{starts})(?=[\\s\\S]{{2,}})", ""), f"(?<=[\\s\\S]{{2}})(?:{ends})$", ""))
-    t = F.regexp_replace(strip(c), "^[，。；：！？、“”‘’（）()\\[\\]{}<>\"' ]+|[，。；：！？、“”‘’（）()\\[\\]{}<>\"' ]+$", "")
-    return F.aggregate(F.array_repeat(F.lit(0), rounds), t, lambda a, _: cut(a))
+def match_text(c: Column) -> Column:
+    """Form under which two texts are the same mention: normal term, runs of blanks one space, lower case; "" for null."""
+    return F.lower(F.trim(F.regexp_replace(normal_term(F.coalesce(c, F.lit(""))), f"[{R.BLANKS}]+", " ")))
 
 
 def plausible(c: Column, label: Column) -> Column:
-    """Whether the shape of a name suits its label."""
-    acr = c.rlike(r"^[A-Z][A-Z0-9&.\-]{1,15}$")
-    latin = c.rlike(r"^[A-Z][A-Za-z]+(?:[ .'\-][A-Z][A-Za-z]+){0,4}$")
-    shape = (F.when(label == "PER", ~acr & (c.contains("·") | latin | c.rlike("^[一-鿿]{2,4}$"))).when(label == "ORG", acr | any_end(c, R.ORG_ENDS))
-             .when(label == "LOC", any_end(c, R.LOC_ENDS) | c.rlike("^[一-鿿]{2,8}$")).when(label == "PROD", F.length(c) >= 2).otherwise(True))
-    return clean_entity(c) & shape
-
-
-def infer_label(c: Column) -> Column:
-    """Ordered decision list on a name's shape; null where nothing speaks."""
-    return F.when(~clean_entity(c), None).when(c.rlike(r"^[A-Z][A-Z0-9&.\-]{1,15}$"), "ORG").when(any_start(c, R.TITLE_STARTS) | (c.startswith("《") & c.endswith("》")), "PROD").when(any_end(c, R.PROD_ENDS), "PROD").when(
-        any_end(c, R.ORG_ENDS), "ORG").when(any_end(c, R.LOC_ENDS), "LOC").when(c.contains("·") | c.rlike(r"^[A-Z][A-Za-z]+(?:[ .'\-][A-Z][A-Za-z]+){0,4}$"), "PER")
+    """Whether the shape of a name (its normal term) suits its label."""
+    def shape(t: Column) -> Column:
+        acr, han = t.rlike(R.ACRONYM), lambda k: t.rlike(f"^[一-鿿]{{2,{k}}}$")
+        return clean_entity(t) & (F.when(label == "PER", ~acr & ~any_in(t, R.ROLE_CUES) & (t.contains("·") | t.rlike(R.LATIN_NAME) | han(4))).when(label == "ORG", acr | any_end(t, R.ORG_ENDS) | t.isin(R.KNOWN_ORGS))
+                                  .when(label == "LOC", any_end(t, R.LOC_ENDS) | t.isin(R.KNOWN_PLACES) | han(8)).when(label == "PROD", F.length(t) >= 2).otherwise(True))
+    return once(normal_term(c), shape)
+
+
+def infer_label(c: Column, left: Column | None = None, right: Column | None = None) -> Column:
+    """Ordered decision list on a name's normal term and the text around it; null where nothing speaks."""
+    around = F.concat(F.coalesce(left, F.lit("")) if left is not None else F.lit(""), F.coalesce(right, F.lit("")) if right is not None else F.lit(""))
+
+    def decide(t: Column) -> Column:
+        acr = t.rlike(R.ACRONYM)
+        return (F.when(t.isNull() | ~clean_entity(t), None).when(acr & any_in(around, R.PRODUCT_CONTEXT), "PROD").when(acr, "ORG").when(any_start(t, R.TITLE_STARTS) | (t.startswith("《") & t.endswith("》")), "PROD")
+                .when(any_in(t, R.ROLE_CUES), "PROD").when(any_end(t, R.PROD_ENDS), "PROD").when(t.contains("·") | t.rlike(R.LATIN_NAME), "PER").when(t.rlike("^[一-鿿]{2,4}$") & any_in(around, R.PERSON_CONTEXT), "PER")
+                .when(any_end(t, R.ORG_ENDS) | t.isin(R.KNOWN_ORGS), "ORG").when(any_end(t, R.LOC_ENDS) | t.isin(R.KNOWN_PLACES), "LOC").when(any_in(around, R.TITLE_CUES), "PROD"))
+    return once(normal_term(c), decide)
 
 
 def occurrences(text: Column, name: Column) -> Column:
