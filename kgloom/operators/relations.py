@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
+from kgloom.packs import rules as R
 
 
 def clean_mentions(mentions: DataFrame) -> DataFrame:
@@ -14,10 +15,23 @@ def clean_mentions(mentions: DataFrame) -> DataFrame:
                            F.coalesce("link_score", F.lit(0.0)).alias("score"), "source").where("start IS NOT NULL AND `end` IS NOT NULL AND source_file IS NOT NULL").distinct()
 
 
+def placed(s: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Mentions with the sentence (of ``s``: source_file, sent_idx, s_start, s_end, ...) that holds them whole.
+
+    Sentences and mentions of a document run as one stream in order of their starts, each mention takes the last sentence before it: work is linear, no mention meets
+    all sentences of its document.
+    """
+    cs, cm = [c for c in s.columns if c != "source_file"], [c for c in mentions.columns if c != "source_file"]
+    a = s.select("source_file", F.col("s_start").alias("_at"), F.lit(0).alias("_side"), F.struct(*cs).alias("_s"))
+    b = mentions.select("source_file", F.col("start").alias("_at"), F.lit(1).alias("_side"), F.struct(*cm).alias("_m"))
+    w = Window.partitionBy("source_file").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    u = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_m IS NOT NULL AND _m.`end` <= _s.s_end")
+    return u.select("source_file", *[F.col(f"_m.{c}").alias(c) for c in cm], *[F.col(f"_s.{c}").alias(c) for c in cs])
+
+
 def in_sentences(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Each mention with the sentence that holds it whole. Work is per sentence, so a long document is no hot task."""
-    s = X.sentences(docs, "source_file")
-    return mentions.join(s, "source_file").where("start >= s_start AND `end` <= s_end")
+    """Each mention with the sentence that holds it whole."""
+    return placed(X.sentences(docs, "source_file"), mentions)
 
 
 def ranked(sm: DataFrame) -> DataFrame:
@@ -83,7 +97,7 @@ def subjects(sm: DataFrame) -> DataFrame:
 def carried_subjects(s: DataFrame, sm: DataFrame) -> DataFrame:
     """Every sentence with the last subject before it in its document; a pronoun at its start takes that subject over."""
     w = Window.partitionBy("source_file").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
-    j = s.select("source_file", "sent_idx", F.col("sent").rlike(r"^[0-9一二三四五六七八九十年月日\s,，.:：]*[他她其]").alias("pronoun")).join(subjects(sm), ["source_file", "sent_idx"], "left")
+    j = s.select("source_file", "sent_idx", F.col("sent").rlike(R.PRONOUN).alias("pronoun")).join(subjects(sm), ["source_file", "sent_idx"], "left")
     return j.withColumn("carried_id", F.last("subject_id", ignorenulls=True).over(w)).withColumn("effective_id", F.when(F.col("pronoun"), F.coalesce("carried_id", "subject_id")).otherwise(F.coalesce("subject_id", "carried_id")))
 
 

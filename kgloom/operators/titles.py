@@ -62,7 +62,7 @@ def canonical_title(t: Column, pairs: Column) -> Column:
     ``pairs`` is an array of (pos, alias, title) in order.
     """
     raw = X.strip(t)
-    hit = lambda f: F.filter(pairs, f)[0]["title"]
+    hit = lambda f: F.get(F.filter(pairs, f), F.lit(0))["title"]
     return F.when((raw == "") | (F.size(pairs) == 0), raw).otherwise(F.coalesce(hit(lambda p: p["alias"] == raw), F.when(F.length(raw) >= 10, hit(lambda p: F.startswith(p["alias"], raw))), raw))
 
 
