@@ -34,24 +34,29 @@ def hub(deg: DataFrame) -> DataFrame:
     return deg.orderBy(F.desc("degree"), "node").limit(1)  # the feature: the one centre
 
 
-def distances(simple: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """(node, dist): undirected breadth-first distances up to ``hops``; each frontier is written to the shared folder, only new nodes move on."""
+def distances(simple: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, dist): undirected breadth-first distances of all nodes the start reaches; each frontier is written to the shared folder, only new nodes move on."""
     both = materialise(simple.select(F.col("hk").alias("a"), F.col("tk").alias("b")).unionByName(simple.select(F.col("tk").alias("a"), F.col("hk").alias("b"))).distinct(), "adjacent")
     seen = materialise(start.select("node", F.lit(0).alias("dist")), "seen")
-    front = seen
-    for d in range(1, hops + 1):
+    front, d = seen, 0
+    while not front.isEmpty():
+        d += 1
         new = both.join(front, both.a == front.node).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(d))
         front = materialise(new, "front")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     return seen
 
 
 def layout(dist: DataFrame, deg: DataFrame, ring: int = 8) -> DataFrame:
-    """Radial positions: rings of ``ring`` nodes per distance, ordered by degree."""
-    w = Window.partitionBy("dist", "bucket").orderBy(F.desc("degree"), "node")
-    j = dist.join(deg, "node").withColumn("bucket", F.lit(0)).withColumn("i", F.row_number().over(w) - 1)
+    """Radial positions: rings of ``ring`` nodes per distance, ordered by degree.
+
+    The order of a distance is ranked on two levels: nodes of one degree are ordered among themselves, counts of the higher degrees (few rows) give where they begin.
+    """
+    j = dist.join(deg, "node")
+    counts = j.groupBy("dist", "degree").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("dist").orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct degree
+    base = counts.select("dist", "degree", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
+    j = j.withColumn("r", F.row_number().over(Window.partitionBy("dist", "degree").orderBy("node")) - 1).join(base, ["dist", "degree"]).withColumn("i", F.col("base") + F.col("r"))
     r = F.col("dist") * 10 + F.floor(F.col("i") / ring) * 2
     a = F.col("i") % ring * (2 * 3.141592653589793 / ring)
     return j.select("node", "dist", "degree", (F.round(r * F.cos(a), 6) + 0.0).alias("x"), (F.round(r * F.sin(a), 6) + 0.0).alias("y"))

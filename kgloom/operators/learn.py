@@ -4,11 +4,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,24 +18,44 @@ from kgloom.operators.link import _piece
 FIT_ROWS = 4000  # bound of the labelled sample a model is fitted on (a hash order, so the sample does not depend on layout)
 
 
+def _grams() -> Column:
+    per = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), _piece("t", k)) for k in (1, 2, 3)]
+    return F.array_compact(F.concat(*per))
+
+
 def marked(re_rows: DataFrame) -> DataFrame:
     """(sample_id, label, grams): character 1- to 3-grams of the text with its ends marked; rows without text or ends drop."""
     t = re_rows.where("text IS NOT NULL AND head IS NOT NULL AND tail IS NOT NULL").select("sample_id", "label", F.lower(mark_entities(F.col("text"), F.col("head"), F.col("tail"))).alias("t")).distinct()
-    per = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), _piece("t", k)) for k in (1, 2, 3)]
-    return t.select("sample_id", "label", F.array_compact(F.concat(*per)).alias("grams"))
+    return t.select("sample_id", "label", _grams().alias("grams"))
 
 
-def relation_classifier(train: DataFrame, rows: DataFrame, features: int = 1 << 14) -> DataFrame:
-    """(sample_id, gold, pred, score) of ``rows`` by a class-weighted multinomial logistic regression fitted on at most FIT_ROWS labelled rows."""
+def fit_relations(train: DataFrame, features: int = 1 << 14) -> PipelineModel:
+    """Hashed gram counts weighted by inverse document frequency and a class-weighted multinomial logistic regression, fitted on at most FIT_ROWS labelled rows. The model can be saved and loaded by path."""
     fit = marked(train).where("label IS NOT NULL").orderBy(F.xxhash64("sample_id"), "sample_id").limit(FIT_ROWS)
     n = fit.groupBy("label").agg(F.count("*").alias("n"))
     total = fit.count()
     fit = fit.join(F.broadcast(n), "label").withColumn("weight", F.lit(float(total)) / F.col("n"))  # n: one row per label
-    model = Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), HashingTF(inputCol="grams", outputCol="x", numFeatures=features),
-                             LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=40, regParam=0.001, standardization=False)]).fit(fit)
+    return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), HashingTF(inputCol="grams", outputCol="c", numFeatures=features), IDF(inputCol="c", outputCol="f"), Normalizer(inputCol="f", outputCol="x"),
+                            LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=40, regParam=0.0001, standardization=False)]).fit(fit)
+
+
+def _predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
     labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    p = model.transform(marked(rows))
-    return p.select("sample_id", F.col("label").alias("gold"), F.coalesce(F.get(labels, F.col("prediction").cast("int")), F.lit("NO_REL")).alias("pred"), F.round(F.array_max(vector_to_array("probability")), 6).alias("score"))
+    p = model.transform(df)
+    return p.withColumn("pred", F.coalesce(F.get(labels, F.col("prediction").cast("int")), F.lit("NO_REL"))).withColumn("score", F.round(F.array_max(vector_to_array("probability")), 6))
+
+
+def relation_classifier(train: DataFrame, rows: DataFrame, features: int = 1 << 14) -> DataFrame:
+    """(sample_id, gold, pred, score) of ``rows``."""
+    return _predicted(fit_relations(train, features), marked(rows)).select("sample_id", F.col("label").alias("gold"), "pred", "score")
+
+
+def pair_relations(pairs: DataFrame, model: PipelineModel) -> DataFrame:
+    """Relations the classifier sees between pairs (source_file, sent_idx, text, head, tail); NO_REL drops, the best of each pair of ends and relation in a sentence stays."""
+    t = pairs.withColumn("t", F.lower(mark_entities(F.col("text"), F.col("head"), F.col("tail")))).withColumn("grams", _grams())
+    p = _predicted(model, t).where("pred <> 'NO_REL'")
+    return p.groupBy("source_file", "sent_idx", F.concat(F.lit("R_"), "pred").alias("relation_id"), F.col("head.eid").alias("head_id"), F.col("tail.eid").alias("tail_id")).agg(
+        F.max("score").alias("confidence"), F.max_by(F.col("head.name"), "score").alias("head"), F.max_by(F.col("tail.name"), "score").alias("tail"), F.lit("classifier").alias("source"))
 
 
 def _feats(text: str, i: int) -> list[str]:

@@ -3,11 +3,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgloom.functions import text as X
+from kgloom.sources.writers import materialise
+
 
 def _piece(col: str, k: int):
     """Function from a 1-based position to the k-gram there, null beyond the end."""
@@ -40,13 +44,57 @@ def kb_rows(kb: DataFrame) -> DataFrame:
     return k.select("entity_id", F.col("m.names").alias("names"), F.col("m.type").alias("type"), F.array_join("m.names", " ").alias("doc"))
 
 
+# names and records of a block; they bound a task's memory and change no result
+QUERY_BLOCK, RECORD_BLOCK = 4096, 50000
+
+
+def _best_of_block(top: int):
+    """Scores all names of a block against all records of one by their posting lists; the ``top`` best of each name, larger id first on ties, records without a common gram last."""
+    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(r):
+            return pd.DataFrame({"q": pd.Series(dtype=object), "entity_id": pd.Series(dtype=object), "sim": pd.Series(dtype=float)})
+        ids = np.array(sorted(set(r["entity_id"]), reverse=True), dtype=object)
+        at = {e: k for k, e in enumerate(ids)}
+        r = r.where(r["gram"].notna()).dropna()
+        gram, codes = np.unique(r["gram"].to_numpy(str), return_inverse=True) if len(r) else (np.array([], str), np.array([], int))
+        order = np.argsort(codes, kind="stable")
+        who, v, cut = np.array([at[e] for e in r["entity_id"]], dtype=np.int64)[order], r["v"].to_numpy(float)[order], np.searchsorted(codes[order], np.arange(len(gram) + 1))
+        where, out = {g: k for k, g in enumerate(gram)}, []
+        for name, one in q.groupby("q", sort=False):
+            acc = np.zeros(len(ids))
+            for g, w in zip(one["gram"], one["w"]):
+                k = where.get(g)
+                if k is not None:
+                    acc[who[cut[k]:cut[k + 1]]] += w * v[cut[k]:cut[k + 1]]
+            acc = np.round(acc, 6)
+            least = np.partition(acc, max(len(acc) - top, 0))[max(len(acc) - top, 0)]
+            some = np.nonzero(acc > least)[0]
+            tied = np.nonzero(acc == least)[0][:top - len(some)]  # ids stand from the largest down
+            best = np.concatenate([some, tied])
+            for k in best[np.lexsort((best, -acc[best]))]:
+                out.append((name, ids[k], float(acc[k])))
+        return pd.DataFrame(out, columns=["q", "entity_id", "sim"])
+    return run
+
+
 def candidates(queries: DataFrame, kb: DataFrame, top: int = 5, n: int = 3) -> DataFrame:
-    """(q, entity_id, sim, rank): best candidates of each distinct query name by cosine, larger id first on ties."""
+    """(q, entity_id, sim, rank): the ``top`` best records of each distinct query name by cosine, larger id first on ties; records without a common gram (0) fill up.
+
+    Names are the stated queries against all records, block by block: single characters join nearly every name with every record, so products of posting lists are summed
+    in place instead of being shuffled. A name without a gram of the base is equally far (0) from all records; an empty base gives no rows.
+    """
     kg = grams(kb, "entity_id", "doc", n)
     i = idf(kg, "entity_id")
-    dw, qw = weights(kg, i, "entity_id"), weights(grams(queries, "q", "q", n), i, "q")
-    sim = qw.join(dw.select("entity_id", "gram", F.col("w").alias("v")), "gram").groupBy("q", "entity_id").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("sim"))
-    return sim.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), F.desc("entity_id")))).where(F.col("rank") <= top)
+    dw = materialise(weights(kg, i, "entity_id").select("entity_id", "gram", F.col("w").alias("v")), "record_grams")
+    qw = materialise(weights(grams(queries, "q", "q", n), i, "q").select("q", "gram", "w"), "query_grams")
+    asked = materialise(queries.select("q").where("q IS NOT NULL").distinct(), "queries")
+    qw = asked.join(qw, "q", "left")
+    nq, nr = -(-asked.count() // QUERY_BLOCK) or 1, -(-kb.count() // RECORD_BLOCK) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    qb = qw.select(F.pmod(F.xxhash64("q"), F.lit(nq)).alias("b"), every(nr).alias("c"), "q", "gram", "w")
+    rb = dw.select(every(nq).alias("b"), F.pmod(F.xxhash64("entity_id"), F.lit(nr)).alias("c"), "entity_id", "gram", "v")
+    best = qb.groupBy("b", "c").cogroup(rb.groupBy("b", "c")).applyInPandas(_best_of_block(top), "q string, entity_id string, sim double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), F.desc("entity_id")))).where(F.col("rank") <= top)
 
 
 def context_scores(pairs: DataFrame, docs: DataFrame, kb: DataFrame, n: int = 2) -> DataFrame:
@@ -82,6 +130,33 @@ def link(queries: DataFrame, kb: DataFrame, top: int = 5, least: float = 0.45, c
     return one.select("q", "entity_id", "score", ((F.col("score") >= least) & (near | alike)).alias("accepted"))
 
 
+def link_mentions(mentions: DataFrame, docs: DataFrame, kb: DataFrame, top: int = 5, least: float = 0.45) -> DataFrame:
+    """Every mention (mention_id, mention, entity_type, source_file) with its best record, or none: the linker's output.
+
+    Distinct names look for candidates once; each (document, candidate) pair is scored once against the whole document; a mention takes the
+    candidate of best 0.65 surface + 0.35 context. Where that is not accepted the record's columns are null, the type is what the name's shape says, and the score stays. Null and blank mentions,
+    mentions whose name has no gram in the base and mentions of unknown documents have score 0 and no record.
+    """
+    rows = kb_rows(kb)
+    m = mentions.select("mention_id", "mention", "entity_type", "source_file").distinct()
+    names = m.select(X.strip(F.col("mention")).alias("q")).where("q <> ''").distinct()
+    c = candidates(names, rows, top).join(rows.select("entity_id", "names", "type"), "entity_id")
+    c = materialise(c.withColumn("surface", F.pandas_udf(_surface, T.DoubleType())("q", "names")).select("q", "entity_id", "rank", "names", F.col("type").alias("kb_type"), "surface"), "surfaces")
+    d = docs.where("text IS NOT NULL AND source_file IS NOT NULL").select(F.col("source_file").alias("doc_id"), "text")
+    at = m.where("source_file IS NOT NULL").select(F.col("source_file").alias("doc_id"), X.strip(F.col("mention")).alias("q")).where("q <> ''").distinct()
+    asked = at.join(c.select("q", "entity_id"), "q").select("doc_id", "entity_id").distinct()
+    context = context_scores(asked, d.join(at.select("doc_id").distinct(), "doc_id", "left_semi"), kb)
+    j = at.join(c, "q").join(context, ["doc_id", "entity_id"], "left").withColumn("score", F.round(0.65 * F.col("surface") + 0.35 * F.coalesce("context", F.lit(0.0)), 6))
+    name = F.get(F.col("names"), F.lit(0))
+    near = F.exists("names", lambda a: (a == F.col("q")) | ((F.contains(F.col("q"), a) | F.contains(a, F.col("q"))) & (F.abs(F.length(a) - F.length("q")) <= 1)))
+    alike = (F.col("surface") >= 0.85) & F.exists("names", lambda a: F.abs(F.length(a) - F.length("q")) <= 1)
+    best = j.groupBy("doc_id", "q").agg(F.max_by(F.struct("entity_id", name.alias("kb_name"), "kb_type", "score", ((F.col("score") >= least) & (near | alike)).alias("ok")), F.struct("score", -F.col("rank"))).alias("b"))
+    out = m.withColumn("q", X.strip(F.col("mention"))).join(best.withColumnRenamed("doc_id", "source_file"), ["source_file", "q"], "left")
+    ok = F.coalesce(F.col("b.ok"), F.lit(False))
+    return out.select("mention_id", "mention", F.when(ok, F.coalesce("b.kb_type", "entity_type")).otherwise(F.coalesce(X.infer_label(F.col("q")), "entity_type")).alias("entity_type"), F.when(ok, F.col("b.entity_id")).alias("entity_id"), F.when(ok, F.col("b.kb_name")).alias("kb_name"),
+                      F.col("b.kb_type").alias("kb_type"), F.coalesce("b.score", F.lit(0.0)).alias("link_score"), F.when(ok, F.col("b.kb_name")).otherwise(F.col("mention")).alias("normalized_entity"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Union by key in which the new side wins, then the later row."""
     u = old.withColumn("side", F.lit(0)).unionByName(new.withColumn("side", F.lit(1)))

@@ -150,3 +150,10 @@ def prune_subsumed(e: DataFrame) -> DataFrame:
     """Drops an edge if another of the same relation, sentence and head has a strictly longer tail text containing its own."""
     o = e.select("relation", "sentence", "hk", F.col("tail").alias("o_tail")).distinct()
     return e.join(o, (e["relation"] == o["relation"]) & (e["sentence"] == o["sentence"]) & (e["hk"] == o["hk"]) & F.contains(o["o_tail"], e["tail"]) & (F.length(o["o_tail"]) > F.length(e["tail"])), "left_anti")
+
+
+def labelled(rel: DataFrame) -> DataFrame:
+    """Adds the relation's label in English and in Chinese; an id outside the library is its own label."""
+    zh = F.create_map(*[F.lit(x) for kv in R.LABEL_ZH.items() for x in kv])
+    en = F.regexp_replace("relation_id", "^R_", "")
+    return rel.withColumn("label_en", en).withColumn("label_zh", F.coalesce(F.element_at(zh, F.col("relation_id")), en))

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
-from kgloom.operators import evaluate, extract, graph, learn, link, relations
+from kgloom.operators import entities as entities_
+from kgloom.operators import evaluate, extract, graph, learn, link, relations, titles
+from kgloom.operators import open_relations as R_
 from kgloom.packs import rules as R
 from kgloom.sources import table
 
@@ -60,26 +62,44 @@ def _in(ws: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 
 
-def _clean(c: str) -> str:
-    t = _strip(c)
-    return f"""(CASE WHEN {c} IS NULL OR length({t}) < 2 OR length({t}) > 60 THEN false WHEN {_has(t, R.ROLE_CUES)} AND NOT {_starts(t, R.TITLE_STARTS)} THEN false WHEN {t} IN {_in(R.STOP + R.GENERIC)} THEN false
-    WHEN {_starts(t, R.BAD_STARTS)} THEN false WHEN {_ends(t, R.BAD_ENDS)} THEN false WHEN regexp_matches({t}, '[\\[\\]{{}}<>"、。，；：！？“”‘’（）()'']') THEN false WHEN regexp_matches({t}, '^[0-9]+$') THEN false
-    WHEN regexp_matches({t}, '^[A-Z][A-Z0-9&.\\-]{{1,15}}$') THEN true WHEN length({t}) > 10 AND regexp_matches({t}, '{R.LONG_LINKS}') THEN false WHEN length({t}) > 12 AND regexp_matches({t}, '{R.LONG_LETTERS}') THEN false
-    WHEN length({t}) <= 4 AND regexp_matches({t}, '^[在于对被把将从向因]') THEN false ELSE true END)"""
+def _canon(c: str) -> str:
+    return f"(CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.CANONICAL.items()) + f" ELSE {c} END)"
+
+
+def _prep(c: str) -> str:
+    return _canon(_strip(c))
+
+
+def _clean(t: str) -> str:
+    """Of a prepared column."""
+    return f"""(CASE WHEN {t} IS NULL OR length({t}) < 2 OR length({t}) > 60 THEN false WHEN {t} IN {_in(R.NOISE)} THEN false WHEN {_has(t, R.ROLE_CUES)} AND NOT {_starts(t, R.TITLE_STARTS)} THEN false WHEN {t} IN {_in(R.STOP + R.GENERIC)} THEN false
+    WHEN {_starts(t, R.BAD_STARTS)} THEN false WHEN {_ends(t, R.BAD_ENDS)} THEN false WHEN {_has(t, R.BAD_INSIDE)} THEN false WHEN regexp_matches({t}, '[\\[\\]{{}}<>"、。，；：！？“”‘’（）()'']') THEN false WHEN regexp_matches({t}, '^[0-9]+$') THEN false
+    WHEN regexp_matches({t}, {_ACR}) THEN true WHEN length({t}) > 10 AND regexp_matches({t}, '{R.LONG_LINKS}') THEN false WHEN length({t}) > 12 AND regexp_matches({t}, '{R.LONG_LETTERS}') THEN false
+    WHEN length({t}) <= 4 AND regexp_matches({t}, '^[在于对被把将从向因][A-Za-z一-鿿]') THEN false ELSE true END)"""
 
 
 _LATIN = "'^[A-Z][A-Za-z]+(?:[ .''\\-][A-Z][A-Za-z]+){0,4}$'"
 _ACR = "'^[A-Z][A-Z0-9&.\\-]{1,15}$'"
+_PUNCT = "[，。；：！？、“”‘’（）()\\[\\]{}<>\"'' ]"
+
 
+def _norm(c: str) -> str:
+    t = f"regexp_replace({_prep(c)}, '^{_PUNCT}+|{_PUNCT}+$', '', 'g')"
+    t = f"regexp_replace({t}, '^(?:(?:{'|'.join(R.AFFIX_STARTS)}){_BL}*)+([\\s\\S]{{2,}})$', '\\1')"
+    t = f"regexp_replace({t}, '^([\\s\\S]{{2,}}?)(?:{_BL}*(?:{'|'.join(R.AFFIX_ENDS)}))+$', '\\1')"
+    t = f"regexp_replace(regexp_replace({_strip(t)}, '^[在于向对从被把]([一-鿿A-Za-z]{{2,}})', '\\1'), '^的([一-鿿A-Za-z]{{2,}})', '\\1')"
+    return t
 
-def _label(c: str) -> str:
-    return f"""(CASE WHEN NOT {_clean(c)} THEN NULL WHEN regexp_matches({c}, {_ACR}) THEN 'ORG' WHEN {_starts(c, R.TITLE_STARTS)} OR (starts_with({c}, '《') AND ends_with({c}, '》')) THEN 'PROD' WHEN {_ends(c, R.PROD_ENDS)} THEN 'PROD'
-    WHEN {_ends(c, R.ORG_ENDS)} THEN 'ORG' WHEN {_ends(c, R.LOC_ENDS)} THEN 'LOC' WHEN contains({c}, '·') OR regexp_matches({c}, {_LATIN}) THEN 'PER' END)"""
 
+def _label(t: str) -> str:
+    """Of a prepared normal term; no text around it."""
+    return f"""(CASE WHEN NOT {_clean(t)} THEN NULL WHEN regexp_matches({t}, {_ACR}) THEN 'ORG' WHEN {_starts(t, R.TITLE_STARTS)} OR (starts_with({t}, '《') AND ends_with({t}, '》')) THEN 'PROD' WHEN {_has(t, R.ROLE_CUES)} THEN 'PROD' WHEN {_ends(t, R.PROD_ENDS)} THEN 'PROD'
+    WHEN contains({t}, '·') OR regexp_matches({t}, {_LATIN}) THEN 'PER' WHEN {_ends(t, R.ORG_ENDS)} OR {t} IN {_in(R.KNOWN_ORGS)} THEN 'ORG' WHEN {_ends(t, R.LOC_ENDS)} OR {t} IN {_in(R.KNOWN_PLACES)} THEN 'LOC' END)"""
 
-def _plaus(c: str, lab: str) -> str:
-    return f"""({_clean(c)} AND CASE {lab} WHEN 'PER' THEN NOT regexp_matches({c}, {_ACR}) AND (contains({c}, '·') OR regexp_matches({c}, {_LATIN}) OR regexp_matches({c}, '^[一-鿿]{{2,4}}$')) WHEN 'ORG' THEN regexp_matches({c}, {_ACR}) OR {_ends(c, R.ORG_ENDS)}
-    WHEN 'LOC' THEN {_ends(c, R.LOC_ENDS)} OR regexp_matches({c}, '^[一-鿿]{{2,8}}$') WHEN 'PROD' THEN length({c}) >= 2 ELSE true END)"""
+
+def _plaus(t: str, lab: str) -> str:
+    return f"""({_clean(t)} AND CASE {lab} WHEN 'PER' THEN NOT regexp_matches({t}, {_ACR}) AND NOT {_has(t, R.ROLE_CUES)} AND (contains({t}, '·') OR regexp_matches({t}, {_LATIN}) OR regexp_matches({t}, '^[一-鿿]{{2,4}}$')) WHEN 'ORG' THEN regexp_matches({t}, {_ACR}) OR {_ends(t, R.ORG_ENDS)} OR {t} IN {_in(R.KNOWN_ORGS)}
+    WHEN 'LOC' THEN {_ends(t, R.LOC_ENDS)} OR {t} IN {_in(R.KNOWN_PLACES)} OR regexp_matches({t}, '^[一-鿿]{{2,8}}$') WHEN 'PROD' THEN length({t}) >= 2 ELSE true END)"""
 
 
 _M = """m AS (SELECT DISTINCT mention_id, source_file, mention, entity_type, start, "end", CASE WHEN upper(trim(entity_id)) NOT IN ('', 'NIL') THEN upper(trim(entity_id)) END eid, coalesce(link_score, 0) score, source
@@ -114,10 +134,10 @@ def _e(s, d):
 
 # ---- text to mentions ----
 @query(f"""WITH {_sent()}, x AS (SELECT doc_id, unnest(list_concat(list_transform(regexp_extract_all(sent, '[A-Z][a-z]+(?: [A-Z][a-z]+){{1,3}}'), lambda v: {{'label': 'PER', 'name': v}}),
-  list_transform(regexp_extract_all(sent, '[一-鿿]{{1,5}}(?:·[一-鿿]{{1,8}}){{1,2}}'), lambda v: {{'label': 'PER', 'name': v}}), list_transform(regexp_extract_all(sent, '[A-Z][A-Z0-9&.\\-]{{1,15}}'), lambda v: {{'label': 'ORG', 'name': v}}))) u FROM s)
-  SELECT u.label label, u.name name, count(*) n_mentions, count(DISTINCT doc_id) n_docs FROM x WHERE {_clean('u.name')} GROUP BY ALL""")
+  list_transform(regexp_extract_all(sent, '{extract.ZH_PERSON}'), lambda v: {{'label': 'PER', 'name': v}}), list_transform(regexp_extract_all(sent, '[A-Z][A-Z0-9&.\\-]{{1,15}}'), lambda v: {{'label': 'ORG', 'name': v}}))) u FROM s), y AS (SELECT doc_id, u.label label, u.name AS name, {_prep('u.name')} t FROM x)
+  SELECT label, name, count(*) n_mentions, count(DISTINCT doc_id) n_docs FROM y WHERE {_clean('t')} GROUP BY label, name""")
 def mention_frequency(s, d):
-    """Names mentioned, how often, in how many documents."""
+    """Names mentioned, how often, in how many documents."""
     m = extract.pattern_mentions(X.sentences(_t(s, d, "documents"), "doc_id"), "doc_id")
     return m.groupBy("label", "name").agg(F.count("*").alias("n_mentions"), F.count_distinct("doc_id").alias("n_docs"))
 
@@ -137,38 +157,43 @@ def section_detect(s, d):
     return X.sections(_t(s, d, "documents"), "doc_id")
 
 
-@query(f"SELECT mention, {_clean('mention')} keep FROM (SELECT DISTINCT mention FROM linked_mentions WHERE mention IS NOT NULL)")
+@query(f"""WITH p AS (SELECT mention, {_prep('mention')} t, {_strip('mention')} u FROM (SELECT DISTINCT mention FROM linked_mentions WHERE mention IS NOT NULL))
+  SELECT mention, {_clean('t')} keep, {_clean('t')} AND NOT regexp_matches(u, '^[了并其该]') AND NOT regexp_matches(u, '{titles.COUNTED}') AS concept FROM p""")
 def clean_entity_filter(s, d):
-    """C4, C8."""
-    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.clean_entity(F.col("mention")).alias("keep"))
+    """Whether a mention may be an entity, and a concept."""
+    m = F.col("mention")
+    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.clean_entity(m).alias("keep"), titles.valid_concept(m).alias("concept"))
 
 
-@query(f"SELECT entity, entity_type, {_plaus('entity', 'entity_type')} plausible, {_label('entity')} inferred FROM (SELECT DISTINCT entity, entity_type FROM input_entities WHERE entity IS NOT NULL)")
+@query(f"""WITH p AS (SELECT entity, entity_type, {_norm('entity')} n FROM (SELECT DISTINCT entity, entity_type FROM input_entities WHERE entity IS NOT NULL)), q AS (SELECT entity, entity_type, {_prep('n')} t FROM p)
+  SELECT entity, entity_type, {_plaus('t', 'entity_type')} plausible, {_label('t')} inferred FROM q""")
 def label_infer(s, d):
-    """C6, C7, C16."""
+    """C6, C7 (without the text around a name; own_names gives it)."""
     return _t(s, d, "input_entities").select("entity", "entity_type").where("entity IS NOT NULL").distinct().select(
         "entity", "entity_type", X.plausible(F.col("entity"), F.col("entity_type")).alias("plausible"), X.infer_label(F.col("entity")).alias("inferred"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT mention, {_norm('mention')} n FROM (SELECT DISTINCT mention FROM linked_mentions WHERE mention IS NOT NULL)), q AS (SELECT mention, {_canon('n')} term FROM p)
+  SELECT mention, term, lower(trim(regexp_replace(term, '{_BL}+', ' ', 'g'))) match_text FROM q""")
 def normal_terms(s, d):
-    """Tested against a loop to the fixed point."""
-    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.normal_term(F.col("mention")).alias("term"))
+    """Mentions as terms and in the form under which texts match."""
+    m = F.col("mention")
+    return _t(s, d, "linked_mentions").select("mention").where("mention IS NOT NULL").distinct().select("mention", X.normal_term(m).alias("term"), X.match_text(m).alias("match_text"))
 
 
 @query(f"SELECT DISTINCT {_strip('x')} AS name, type AS label FROM (SELECT unnest(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) x, type FROM kb) WHERE length({_strip('x')}) >= 2")
 def kb_lexicon(s, d):
-    """D1, D10, D11."""
+    """D1."""
     return extract.kb_lexicon(_t(s, d, "kb"))
 
 
 @query("""SELECT doc_id, unnest(regexp_extract_all(text, '《([^》]{2,80})》|“([^”]{2,80})”', 0)) AS quoted FROM documents WHERE text IS NOT NULL""")
 def quoted_titles(s, d):
-    """D2, D15."""
+    """The quoted stretches themselves; own_names labels them, sentence_titles cleans them."""
     return _t(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("《([^》]{2,80})》|“([^”]{2,80})”"), F.lit(0))).alias("quoted"))
 
 
-_LEX = f"lex AS (SELECT DISTINCT {_strip('x')} AS name, type AS label FROM (SELECT unnest(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) x, type FROM kb) WHERE length({_strip('x')}) >= 2 AND length({_strip('x')}) <= 64)"
+_LEX = f"lex AS (SELECT DISTINCT {_strip('x')} AS name, type AS label FROM (SELECT unnest(list_filter(list_concat([name], coalesce(aliases, [])), lambda v: v IS NOT NULL)) x, type FROM kb) WHERE length({_strip('x')}) >= 2)"
 _DICT = f"{_LEX}, tx AS (SELECT DISTINCT sample_id, text FROM ner_train WHERE text IS NOT NULL), dict AS (SELECT sample_id, CAST(i AS INT) AS start, CAST(i + length(name) AS INT) AS \"end\", label, name AS text FROM (SELECT sample_id, name, label, unnest(list_filter(range(length(text) - length(name) + 1), lambda i: substring(text, CAST(i + 1 AS INT), length(name)) = name)) i FROM tx JOIN lex ON contains(text, name)))"
 
 
@@ -180,7 +205,7 @@ def dict_extract(s, d):
 
 @query()
 def merge_spans(s, d):
-    """Dictionary and labelled spans to non-overlapping ones; tested against a plain loop."""
+    """Dictionary and labelled spans of the training texts to non-overlapping ones; tested against a plain loop."""
     t = _t(s, d, "ner_train")
     a = extract.dict_extract(t, extract.kb_lexicon(_t(s, d, "kb")), "sample_id").withColumn("source", F.lit("kb_dict")).withColumn("prio", F.lit(3))
     g = evaluate.gold_spans(t).join(t.select("sample_id", F.col("text").alias("whole")).distinct(), "sample_id").select("sample_id", "start", "end", "label", F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), F.lit("ner").alias("source"), F.lit(0).alias("prio"))
@@ -225,19 +250,19 @@ def _names(s, d):
   SELECT q, entity_id, round(sim, 4) sim, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, entity_id DESC) AS INT) AS "rank" FROM sim QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, entity_id DESC) <= 3""")
 def tfidf_cosine_topk(s, d):
     """F2, E3, H4."""
-    return link.candidates(_names(s, d), link.kb_rows(_t(s, d, "kb")), 3).select("q", "entity_id", F.round("sim", 4).alias("sim"), "rank")
+    return link.candidates(_names(s, d), link.kb_rows(_t(s, d, "kb")), 3).where("sim > 0").select("q", "entity_id", F.round("sim", 4).alias("sim"), "rank")
 
 
 @query()
-def link_accept(s, d):
-    """Surface similarity is no SQL function; tested against difflib on a fixture."""
-    return link.link(_names(s, d), link.kb_rows(_t(s, d, "kb")))
+def link_mentions(s, d):
+    """Every mention against the knowledge base, scored with its whole document; difflib's ratio is no SQL function, tested against a plain loop."""
+    return link.link_mentions(_t(s, d, "linked_mentions"), _t(s, d, "documents"), _t(s, d, "kb"))
 
 
 @query(f"""WITH {_M} SELECT source_file, coalesce(eid, mention) entity_key, count(*) mention_count, arg_min(mention, {{'a': start, 'b': mention_id}}) main_entity, arg_min(entity_type, {{'a': start, 'b': mention_id}}) entity_type,
   array_to_string(list_sort(list(DISTINCT mention)), ' | ') mentions, round(avg(score), 8) avg_score FROM m GROUP BY ALL HAVING count(*) > 1 OR round(avg(score), 8) >= 0.3""")
 def entity_group_having(s, d):
-    """G1-G3, N2."""
+    """G1, G2 in short form; disambiguated_entities has all columns."""
     return extract.group_entities(relations.clean_mentions(_t(s, d, "linked_mentions")))
 
 
@@ -263,36 +288,36 @@ def active_rules(s, d):
 
 @query(f"{_SM}, {_PAIRS} SELECT source_file, sent_idx, h_id, t_id, gap, \"between\" FROM p")
 def pair_generate(s, d):
-    """E6, E10, E11."""
+    """E6."""
     return relations.pairs(_sm(s, d)).select("source_file", "sent_idx", "h_id", "t_id", "gap", "between")
 
 
 @query(f"{_SM}, {_PAIRS}, {_RULES} SELECT source_file, sent_idx, h_id, t_id, relation_id, arg_min(alias, rule_idx) alias, min(h) h, min(t) t FROM p JOIN rules ON list_contains(head_types, h_type) AND list_contains(tail_types, t_type) AND contains(\"between\", alias) GROUP BY source_file, sent_idx, h_id, t_id, relation_id")
 def pair_rule_match(s, d):
-    """E7, K3, K4."""
+    """E7."""
     return relations.pair_rules(relations.pairs(_sm(s, d)), R.rules(s))
 
 
 @query(f"{_WIN} SELECT source_file, sent_idx, CAST(rule_idx AS INT) rule_idx, relation_id, alias, CAST(pos AS INT) pos, head_id, tail_id FROM w WHERE head_id IS NOT NULL AND tail_id IS NOT NULL")
 def trigger_window_best(s, d):
-    """E8, K1, C21."""
+    """E8, C21."""
     return relations.trigger_window(_s(s, d), _sm(s, d), R.rules(s))
 
 
 @query(f"""{_SM}, {_RULES}, {_TRIG}, j AS (SELECT tr.*, r.mention_id, r.rn, r.start - tr.s_start ls, r."end" - tr.s_start le, tr.pos + length(alias) stop FROM tr JOIN r ON tr.source_file = r.source_file AND tr.sent_idx = r.sent_idx)
   SELECT source_file, sent_idx, CAST(rule_idx AS INT) rule_idx, alias, CAST(pos AS INT) pos, arg_max(mention_id, {{'a': le, 'b': -rn}}) FILTER (WHERE le <= pos) before_id, arg_max(mention_id, {{'a': -ls, 'b': -rn}}) FILTER (WHERE ls >= stop) after_id FROM j GROUP BY source_file, sent_idx, rule_idx, alias, pos""")
 def nearest_before_after(s, d):
-    """E9, K2's anchors."""
+    """E9."""
     return relations.nearest(_s(s, d), _sm(s, d), R.rules(s))
 
 
 _SUBJ = f"""{_SM}, sub AS (SELECT source_file, sent_idx, mention_id subject_id FROM (SELECT *, row_number() OVER (PARTITION BY source_file, sent_idx ORDER BY (eid IS NOT NULL) DESC, round(score, 6) DESC, length(mention) DESC, start, mention_id) k FROM sm WHERE entity_type = 'PER') WHERE k = 1),
-  c AS (SELECT s.source_file, s.sent_idx, regexp_matches(sent, '^[0-9一二三四五六七八九十年月日\\s,，.:：]*[他她其]') pronoun, subject_id, last_value(subject_id IGNORE NULLS) OVER (PARTITION BY s.source_file ORDER BY s.sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) carried_id FROM s LEFT JOIN sub ON s.source_file = sub.source_file AND s.sent_idx = sub.sent_idx)"""
+  c AS (SELECT s.source_file, s.sent_idx, regexp_matches(sent, '{R.PRONOUN}') pronoun, subject_id, last_value(subject_id IGNORE NULLS) OVER (PARTITION BY s.source_file ORDER BY s.sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) carried_id FROM s LEFT JOIN sub ON s.source_file = sub.source_file AND s.sent_idx = sub.sent_idx)"""
 
 
 @query(f"{_SUBJ} SELECT *, CASE WHEN pronoun THEN coalesce(carried_id, subject_id) ELSE coalesce(subject_id, carried_id) END effective_id FROM c")
 def subject_carry_forward(s, d):
-    """G5, J3-J5, C14, C15."""
+    """G5, J3, J4, C14."""
     return relations.carried_subjects(_s(s, d), _sm(s, d))
 
 
@@ -307,7 +332,7 @@ def dominant_person(s, d):
   z AS (SELECT s.source_file, s.sent_idx, s.sent, nm.named, last_value(place_id IGNORE NULLS) OVER (PARTITION BY s.source_file ORDER BY s.sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) last_id FROM s LEFT JOIN st USING (source_file, sent_idx) LEFT JOIN nm USING (source_file, sent_idx))
   SELECT source_file, sent_idx, last_id place_id FROM z WHERE regexp_matches(sent, '毕业|graduated') AND named IS NULL AND last_id IS NOT NULL""")
 def study_state_carry(s, d):
-    """J6, K5."""
+    """J6 per document; carried_degrees keeps it per subject."""
     return relations.last_study(_s(s, d), relations.trigger_window(_s(s, d), _sm(s, d), R.rules(s)))
 
 
@@ -351,13 +376,13 @@ def node_distinct(s, d):
 
 @query(f"WITH {_E}, n AS (SELECT DISTINCT upper(trim(node_id)) node_id, name, type FROM nodes WHERE node_id IS NOT NULL) SELECT * FROM n WHERE node_id IN (SELECT hk FROM e WHERE hk <> tk UNION SELECT tk FROM e WHERE hk <> tk)")
 def node_semijoin(s, d):
-    """E14, M2, B3."""
+    """E14, M2."""
     return graph.active_nodes(_t(s, d, "nodes"), _e(s, d))
 
 
 @query(f"WITH {_E} SELECT relation, count(*) n_edges, round(avg(confidence), 6) avg_confidence FROM e GROUP BY relation")
 def relation_distribution(s, d):
-    """G10, B6."""
+    """G10."""
     return _e(s, d).groupBy("relation").agg(F.count("*").alias("n_edges"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
@@ -368,7 +393,7 @@ _ORD = "priority DESC, confidence DESC, (head_id IS NOT NULL) DESC, (tail_id IS
 @query(f"""WITH {_E}, p AS (SELECT *, {_PR} priority FROM e), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY head, relation, tail ORDER BY {_ORD}) = 1), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY relation ORDER BY {_ORD}) <= 3)
   SELECT triple_id, head, relation, tail, confidence, source FROM c ORDER BY {_ORD} LIMIT 20""")
 def submission_topk(s, d):
-    """A top-k report."""
+    """A top-k report."""
     return graph.submission(_e(s, d), PRIORITY)
 
 
@@ -384,25 +409,25 @@ def graph_degree(s, d):
     return graph.degrees(graph.simple_edges(_e(s, d)))
 
 
-_BFS = _G.replace("WITH ", "WITH RECURSIVE ", 1) + """, adj AS (SELECT hk a, tk b FROM simple UNION SELECT tk, hk FROM simple), bfs(node, dist) AS (SELECT * FROM (SELECT node, 0 FROM deg ORDER BY degree DESC, node LIMIT 1) UNION SELECT adj.b, dist + 1 FROM bfs JOIN adj ON adj.a = bfs.node WHERE dist < 3), dd AS (SELECT node, min(dist) dist FROM bfs GROUP BY node)"""
+_BFS = _G.replace("WITH ", "WITH RECURSIVE ", 1) + """, adj AS (SELECT hk a, tk b FROM simple UNION SELECT tk, hk FROM simple), bfs(node, dist) USING KEY (node) AS (SELECT * FROM (SELECT node, 0 FROM deg ORDER BY degree DESC, node LIMIT 1) UNION SELECT adj.b, min(bfs.dist) + 1 FROM bfs JOIN adj ON adj.a = bfs.node LEFT JOIN recurring.bfs seen ON seen.node = adj.b WHERE seen.node IS NULL GROUP BY adj.b), dd AS (SELECT node, min(dist) dist FROM bfs GROUP BY node)"""
 
 
 def _dist(s, d):
     simple = graph.simple_edges(_e(s, d))
     deg = graph.degrees(simple)
-    return graph.distances(simple, graph.hub(deg), 3), deg
+    return graph.distances(simple, graph.hub(deg)), deg
 
 
 @query(_BFS + " SELECT node, dist FROM dd")
 def bfs_distance(s, d):
-    """M4: up to three hops from the hub."""
+    """M4: hops from the hub, as far as the graph reaches."""
     return _dist(s, d)[0]
 
 
 @query(_BFS + """, k AS (SELECT node, dist, degree, row_number() OVER (PARTITION BY dist ORDER BY degree DESC, node) - 1 i FROM dd JOIN deg USING (node))
   SELECT node, dist, degree, round((dist * 10 + floor(i / 8) * 2) * cos((i % 8) * (2 * 3.141592653589793 / 8)), 6) + 0.0 x, round((dist * 10 + floor(i / 8) * 2) * sin((i % 8) * (2 * 3.141592653589793 / 8)), 6) + 0.0 y FROM k""")
 def radial_layout(s, d):
-    """M5, J8, B7's table."""
+    """M5, J8."""
     return graph.layout(*_dist(s, d))
 
 
@@ -419,7 +444,7 @@ def _gp(s, d):
   a AS (SELECT label, count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) tp, count(*) FILTER (WHERE g IS NULL) fp, count(*) FILTER (WHERE p IS NULL) fn FROM j GROUP BY label)
   SELECT label, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) f1 FROM a""")
 def ner_prf(s, d):
-    """G11, E17, I1, L2."""
+    """G11, E17, I1."""
     return evaluate.prf(*_gp(s, d), "label")
 
 
@@ -427,7 +452,7 @@ def ner_prf(s, d):
   l AS (SELECT label FROM miss UNION SELECT label FROM spur) SELECT l.label, (SELECT count(*) FROM miss WHERE label = l.label) missed, (SELECT count(*) FROM spur WHERE label = l.label) spurious,
   (SELECT count(*) FROM (SELECT DISTINCT sample_id, start, "end" FROM o WHERE label = l.label AND s_label = l.label)) boundary, (SELECT count(*) FROM (SELECT DISTINCT sample_id, start, "end" FROM o WHERE label = l.label AND s_label <> l.label AND start = s_start AND "end" = s_end)) "type" FROM l""")
 def error_breakdown(s, d):
-    """G13, I2, H8, B9."""
+    """G13."""
     return evaluate.span_errors(*_gp(s, d))
 
 
@@ -488,23 +513,159 @@ def label_vocabulary(s, d):
 
 @query()
 def relation_classifier(s, d):
-    """Fitted on a bounded sample of re_train, applied to the held-out records; tested by held-out accuracy."""
+    """Fitted on a bounded sample of re_train, applied to the held-out records; tested by held-out accuracy."""
     ev = _t(s, d, "eval_samples").where("task = 're'").select("sample_id", "text", "head", "tail", "label")
     return learn.relation_classifier(_t(s, d, "re_train"), ev)
 
 
 @query()
 def ner_tagger(s, d):
-    """Fitted on a bounded sample of ner_train, applied to the held-out records; tested by held-out F1."""
+    """L1: fitted on a bounded sample of ner_train, applied to the held-out records; tested by held-out F1."""
     return learn.tag(_t(s, d, "eval_samples").where("task = 'ner'"), learn.fit_tagger(_t(s, d, "ner_train"), rows=120, epochs=2))
 
 
+# ---- documents to graphs ----
+def _docs(s, d):
+    return _t(s, d, "documents").select("doc_id", "source_file", "text")
+
+
+def _rows(s, d):
+    return R_.sentence_rows(_docs(s, d), R_.entities(_t(s, d, "linked_mentions")))
+
+
+def _flat(rel):
+    """Relations with the order of rules left out."""
+    return rel.drop("seq")
+
+
+@query(f"""WITH {_sent()}, t AS (SELECT doc_id, sent_idx, unnest(regexp_extract_all(sent, '[《"“]([^》"”]{{2,120}})[》"”]', 1)) x FROM s), u AS (SELECT DISTINCT doc_id, sent_idx, {_strip('x')} title FROM t), p AS (SELECT *, {_canon('title')} c FROM u)
+  SELECT doc_id, sent_idx, title FROM p WHERE {_clean('c')} AND NOT regexp_matches(title, '^[了并其该]') AND NOT regexp_matches(title, '{titles.COUNTED}')""")
+def sentence_quotes(s, d):
+    """D15's first part: acceptable titles in quotation marks."""
+    q = F.transform(F.regexp_extract_all("sent", F.lit(titles.QUOTED), F.lit(1)), X.strip)
+    return X.sentences(_docs(s, d), "doc_id").select("doc_id", "sent_idx", F.explode(F.array_distinct(F.filter(q, titles.valid_concept))).alias("title"))
+
+
+@query()
+def sentence_titles(s, d):
+    """All titles of every sentence (quoted, after a cue, of English shape); RE2 has other word boundaries, tested on a fixture."""
+    return X.sentences(_docs(s, d), "doc_id").select("doc_id", "sent_idx", F.posexplode(titles.sentence_titles(F.col("sent"))).alias("pos", "title"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, unnest(arr) x, unnest(range(len(arr))) n FROM (SELECT DISTINCT doc_id, regexp_extract_all(text, '《[^》]{{2,80}}》\\s*[（(](?:英语[:：])?\\s*[A-Za-z][A-Za-z0-9 ,.''\\-:&]+?[）)]') arr FROM documents WHERE text IS NOT NULL)),
+  e AS (SELECT doc_id, n, {_strip("regexp_extract(x, '《([^》]{2,80})》', 1)")} title, regexp_replace(regexp_extract(x, '[（(](?:英语[:：])?\\s*([A-Za-z][A-Za-z0-9 ,.''\\-:&]+?)[）)]$', 1), '^[ ,，。；;:：]+|[ ,，。；;:：]+$', '', 'g') en FROM h),
+  w AS (SELECT *, regexp_split_to_array(en, '\\s+') ws FROM e WHERE title <> '' AND en <> ''), a AS (SELECT doc_id, title, n * 4 k, en alias FROM w UNION ALL SELECT doc_id, title, n * 4 + 1, array_to_string(ws[1:2], ' ') FROM w WHERE len(ws) >= 2 UNION ALL SELECT doc_id, title, n * 4 + 2, array_to_string(ws[1:3], ' ') FROM w WHERE len(ws) >= 3)
+  SELECT doc_id, alias, arg_max(title, k) title, CAST(min(k) AS INT) pos FROM a GROUP BY doc_id, alias""")
+def title_pairs(s, d):
+    """D16."""
+    return titles.title_pairs(_docs(s, d), "doc_id")
+
+
+@query(f"""WITH {_sent()}, {_RULES}, t AS (SELECT DISTINCT doc_id, sent_idx, sent, alias, unnest(list_filter(range(length(sent) - length(alias) + 1), lambda i: substring(sent, CAST(i + 1 AS INT), length(alias)) = alias)) pos FROM s JOIN rules ON contains(sent, alias)),
+  c AS (SELECT doc_id, sent_idx, alias, pos, regexp_replace({_strip("regexp_extract(substring(sent, CAST(pos + length(alias) + 1 AS INT), 18), '^([一-鿿A-Za-z0-9·]{2,16})', 1)")}, '^(?:一篇|一项|一个|一种)', '') concept FROM t), p AS (SELECT *, {_prep('concept')} c FROM c WHERE concept <> '')
+  SELECT doc_id, sent_idx, alias, CAST(pos AS INT) pos, concept FROM p WHERE {_clean('c')} AND NOT regexp_matches(concept, '^[了并其该]') AND NOT regexp_matches(concept, '{titles.COUNTED}')""")
+def trigger_concepts(s, d):
+    """What stands right after each trigger and may be a concept."""
+    r = R.rules(s).select("alias").distinct()
+    j = X.sentences(_docs(s, d), "doc_id").join(F.broadcast(r), F.contains(F.col("sent"), F.col("alias"))).withColumn("pos", F.explode(X.occurrences(F.col("sent"), F.col("alias"))))  # some dozens of rules
+    return j.select("doc_id", "sent_idx", "alias", "pos", titles.concept_after(F.col("sent"), F.col("pos") + F.length("alias")).alias("concept")).where("concept IS NOT NULL")
+
+
+@query()
+def section_offsets(s, d):
+    """C3; tested against a plain loop."""
+    return X.section_offsets(_docs(s, d), "doc_id")
+
+
+@query()
+def mention_sections(s, d):
+    """E5: the first section that holds a mention's start."""
+    return entities_.in_sections(R_.entities(_t(s, d, "linked_mentions")), _docs(s, d)).select("source_file", "mention_id", "title")
+
+
+@query()
+def disambiguated_entities(s, d):
+    """Mentions of a document grouped to entities with sections, basis and strong sources; tested against a plain loop."""
+    return entities_.grouped(_t(s, d, "linked_mentions"), _docs(s, d))
+
+
+@query()
+def own_names(s, d):
+    """Names each document brings itself, with labels from base, pattern, shape or surroundings."""
+    return extract.own_names(_docs(s, d), _t(s, d, "kb"), "source_file").select("source_file", "name", "label")
+
+
+@query()
+def regex_mentions(s, d):
+    """Six pattern families over documents."""
+    return extract.regex_extract(_docs(s, d), "source_file")
+
+
+@query()
+def document_mentions(s, d):
+    """N1, D12, E1, H2 over documents: base, own names and patterns, overlaps resolved."""
+    return extract.document_mentions(_docs(s, d), _t(s, d, "kb"))
+
+
+@query()
+def trigger_relations(s, d):
+    """K1, D17, E12's carried subject, J5."""
+    return _flat(R_.trigger_window(_rows(s, d), R.rules(s)))
+
+
+@query()
+def structured_relations(s, d):
+    """22 sentence templates over the nearest mentions."""
+    return _flat(R_.structured(_rows(s, d)))
+
+
+@query()
+def work_relations(s, d):
+    """K3, E11."""
+    return _flat(R_.work_context(_rows(s, d)))
+
+
+@query()
+def pair_relations(s, d):
+    """K4."""
+    return _flat(R_.pair_pattern(_rows(s, d), R.rules(s)))
+
+
+@query()
+def carried_degrees(s, d):
+    """The last place of study of the same subject."""
+    rows = _rows(s, d)
+    return _flat(R_.carried_degrees(rows, R_.structured(rows)))
+
+
 @query()
 def open_relations(s, d):
-    """Trigger and pair producers united, the best edge of each (head, relation, tail) kept, sentence by sentence."""
-    sm, rules = _sm(s, d), R.rules(s)
-    key = sm.select("mention_id", F.coalesce("eid", "mention").alias("k")).distinct()
-    w = relations.trigger_window(_s(s, d), sm, rules).select("source_file", "sent_idx", "relation_id", F.col("head_id").alias("h_id"), F.col("tail_id").alias("t_id"), F.lit(0.97).alias("confidence"), F.lit("trigger_window").alias("producer"))
-    p = relations.pair_rules(relations.pairs(sm), rules).select("source_file", "sent_idx", "relation_id", "h_id", "t_id", F.lit(0.93).alias("confidence"), F.lit("pattern").alias("producer"))
-    u = w.unionByName(p).join(key.toDF("h_id", "hk"), "h_id").join(key.toDF("t_id", "tk"), "t_id").where("hk <> tk")
-    return u.groupBy("hk", "relation_id", "tk").agg(F.max("confidence").alias("confidence"), F.max_by("producer", "confidence").alias("producer"), F.count("*").alias("n_evidence"), F.count_distinct("source_file").alias("n_docs"))
+    """Five producers, rejects, the first of each kept."""
+    return _flat(R_.open_relations(_docs(s, d), _t(s, d, "linked_mentions"), R.rules(s)))
+
+
+@query()
+def graph_relations(s, d):
+    """The relations of every document's graph, reconciled, with both labels."""
+    return relations.labelled(_flat(R_.payload(_docs(s, d), _t(s, d, "linked_mentions"), R.rules(s))))
+
+
+@query()
+def graph_nodes(s, d):
+    """Nodes of mentions and of loose ends."""
+    m = _t(s, d, "linked_mentions")
+    return R_.graph_nodes(R_.payload(_docs(s, d), m, R.rules(s)), R_.entities(m))
+
+
+@query()
+def classifier_relations(s, d):
+    """K6: the trained classifier on pairs of linked mentions of a sentence."""
+    return learn.pair_relations(R_.pairs_of(_rows(s, d)), learn.fit_relations(_t(s, d, "re_train")))
+
+
+@query(f"""WITH {_DICT}, {_GOLD}, x AS (SELECT 'missed' side, * FROM (SELECT * FROM gold EXCEPT SELECT * FROM pred) UNION ALL SELECT 'spurious', * FROM (SELECT * FROM pred EXCEPT SELECT * FROM gold)) SELECT side, sample_id, start, "end", label FROM x""")
+def missed_spurious(s, d):
+    """The spans of each side that the other lacks."""
+    g, p = _gp(s, d)
+    p = p.select(*g.columns).distinct()
+    return g.exceptAll(p).withColumn("side", F.lit("missed")).unionByName(p.exceptAll(g).withColumn("side", F.lit("spurious"))).select("side", *g.columns)
