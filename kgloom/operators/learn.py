@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from kgloom.functions.text import bio_tags, mark_entities
 from kgloom.operators.link import _piece
+from kgloom.sources.writers import materialise
 
 FIT_ROWS = 4000  # bound of the labelled sample a model is fitted on (a hash order, so the sample does not depend on layout)
 
@@ -53,7 +54,8 @@ def relation_classifier(train: DataFrame, rows: DataFrame, features: int = 1 <<
 def pair_relations(pairs: DataFrame, model: PipelineModel) -> DataFrame:
     """Relations the classifier sees between pairs (source_file, sent_idx, text, head, tail); NO_REL drops, the best of each pair of ends and relation in a sentence stays."""
     t = pairs.withColumn("t", F.lower(mark_entities(F.col("text"), F.col("head"), F.col("tail")))).withColumn("grams", _grams())
-    p = _predicted(model, t).where("pred <> 'NO_REL'")
+    # written before it is filtered, else the model would score a row once for the filter and again for the result
+    p = materialise(_predicted(model, t).select("source_file", "sent_idx", "head", "tail", "pred", "score"), "predicted").where("pred <> 'NO_REL'")
     return p.groupBy("source_file", "sent_idx", F.concat(F.lit("R_"), "pred").alias("relation_id"), F.col("head.eid").alias("head_id"), F.col("tail.eid").alias("tail_id")).agg(
         F.max("score").alias("confidence"), F.max_by(F.col("head.name"), "score").alias("head"), F.max_by(F.col("tail.name"), "score").alias("tail"), F.lit("classifier").alias("source"))
 

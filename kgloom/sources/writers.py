@@ -1,6 +1,7 @@
 """Sinks: JSON lines, CSV with fixed columns, the nested graph document, tables in the shared folder."""
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,12 @@ def graph_document(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder all executors share, as named by ``spark.checkpoint.dir``. Where that is unset a local session (tests, bench) gets a folder of its own; a cluster is refused, as its machines share no temporary folder."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
-        own = f"file:///tmp/kgloom-{spark.sparkContext.applicationId}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own
 
