@@ -41,6 +41,14 @@ def label_metrics(pairs: DataFrame) -> DataFrame:
     return j.select("label", "support", r(F.col("tp"), F.col("n_pred")).alias("precision"), r(F.col("tp"), F.col("support")).alias("recall"), r(2 * F.col("tp"), F.col("n_pred") + F.col("support")).alias("f1"))
 
 
+def label_totals(pairs: DataFrame) -> DataFrame:
+    """(n_labels, macro_f1, micro_f1) of (gold, pred); every record has one of each, so micro F1 is the share of hits. No rows: no labels, null scores."""
+    g = pairs.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("support"), F.count_if(F.col("gold") == F.col("pred")).alias("tp"))
+    p = pairs.groupBy(F.col("pred").alias("label")).agg(F.count("*").alias("n_pred"))
+    j = g.join(p, "label", "full").na.fill(0, ["support", "tp", "n_pred"])
+    return j.agg(F.count("*").alias("n_labels"), F.round(F.avg(2 * F.col("tp") / (F.col("n_pred") + F.col("support"))), 6).alias("macro_f1"), F.round(F.sum("tp") / F.sum("support"), 6).alias("micro_f1"))
+
+
 def decode_bio(tags: DataFrame) -> DataFrame:
     """(sample_id, start, end, label) of runs B-X I-X* in (sample_id, i, tag); an I- without its B- is left out. Gaps and islands."""
     w = Window.partitionBy("sample_id").orderBy("i")

@@ -669,3 +669,22 @@ def missed_spurious(s, d):
     g, p = _gp(s, d)
     p = p.select(*g.columns).distinct()
     return g.exceptAll(p).withColumn("side", F.lit("missed")).unionByName(p.exceptAll(g).withColumn("side", F.lit("spurious"))).select("side", *g.columns)
+
+
+@query(f"""WITH {_DICT}, {_GOLD}, j AS (SELECT g.sample_id g, p.sample_id p FROM gold g FULL JOIN pred p ON g.sample_id = p.sample_id AND g.start = p.start AND g."end" = p."end" AND g.label = p.label),
+  a AS (SELECT count(*) FILTER (WHERE g IS NOT NULL AND p IS NOT NULL) tp, count(*) FILTER (WHERE g IS NULL) fp, count(*) FILTER (WHERE p IS NULL) fn FROM j)
+  SELECT tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) f1 FROM a""")
+def ner_prf_micro(s, d):
+    """G11's micro row: all labels together."""
+    return evaluate.prf(*_gp(s, d))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT sample_id, label gold, CASE {_RL} ELSE 'NO_REL' END pred FROM re_train WHERE text IS NOT NULL AND label IS NOT NULL), g AS (SELECT gold label, count(*) support, count(*) FILTER (WHERE gold = pred) tp FROM q GROUP BY gold), p AS (SELECT pred label, count(*) n_pred FROM q GROUP BY pred),
+  j AS (SELECT coalesce(support, 0) support, coalesce(tp, 0) tp, coalesce(n_pred, 0) n_pred FROM g FULL JOIN p ON g.label = p.label)
+  SELECT count(*) n_labels, round(avg(CASE WHEN n_pred + support > 0 THEN 2 * tp / (n_pred + support) ELSE 0 END), 6) macro_f1, round(sum(tp) / sum(support), 6) micro_f1 FROM j""")
+def re_macro_micro(s, d):
+    """G12's totals: macro F1 over classes seen or said, micro F1 over records."""
+    pred = F.lit("NO_REL")
+    for r, a, _, _ in reversed(R.RULES):
+        pred = F.when(F.contains(F.col("text"), F.lit(a)), r[2:]).otherwise(pred)
+    return evaluate.label_totals(_t(s, d, "re_train").where("text IS NOT NULL AND label IS NOT NULL").select("sample_id", F.col("label").alias("gold"), pred.alias("pred")).distinct())
