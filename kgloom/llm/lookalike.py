@@ -88,6 +88,7 @@ QUOTES = {"‘": "'", "’": "'", "‛": "'", "ʼ": "'", "“": '"', "”": '"',
 _BEFORE = {ord(c): "·" for c in DOTS}
 _AFTER = {ord(k): v for k, v in QUOTES.items()} | {c: None for c in (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x2800, 0x3164, 0xFEFF, 0xFFA0)}
 _AFTER |= {c: None for a, b in ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F)) for c in range(a, b + 1)}
+_DOT, _TURNED = re.compile("[" + DOTS.replace("·", "") + "]"), re.compile("[" + "".join(map(chr, _AFTER)) + "]")  # whether there is anything to turn
 _BLANK = re.compile(r"[\s ]+")
 _FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13fd]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,7 +140,8 @@ def examined(text: str | None) -> tuple[str | None, str | None]:
     if text.isascii():
         t = _BLANK.sub(" ", text).strip()
         return t, "same" if t == text else "form"
-    t = unicodedata.normalize("NFKC", text.translate(_BEFORE)).translate(_AFTER)
+    t = unicodedata.normalize("NFKC", text.translate(_BEFORE) if _DOT.search(text) else text)
+    t = t.translate(_AFTER) if _TURNED.search(t) else t
     t, kinds = unicodedata.normalize("NFC", _BLANK.sub(" ", t).strip()), set()
     if _FOREIGN.search(t):
         def one(m: re.Match) -> str:

@@ -45,7 +45,9 @@ TRADITIONAL = """於于 後后 記记 員员 設设 誤误 關关 書书 開开
 試试 詩诗 話话 該该 詳详 認认 語语 誠诚 請请 課课 調调 談谈 謀谋 講讲 謝谢 識识 譯译 護护 變变 讓让 貝贝 負负 財财 責责 貨货 質质 購购 費费 資资 賽赛 賴赖 軍军 軌轨 軟软 較较 載载 輕轻 輪轮 輯辑 輸输 轉转 辦办 農农 連连 運运
 達达 遠远 適适 選选 遷迁 還还 邊边 醫医 釋释 針针 鋼钢 錯错 鏡镜 閉闭 閱阅 陽阳 陸陆 陳陈 際际 隨随 險险 雖虽 雙双 雜杂 離离 難难 雲云 靜静 響响 項项 順顺 預预 頭头 頻频 顆颗 類类 顯显 風风 飛飞 養养 馬马 驚惊 黃黄 齒齿 龍龙"""
 _SIMPLE = {ord(p[0]): p[1] for p in TRADITIONAL.split()}
-_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1E950) if unicodedata.combining(chr(c))) + "]+")
+_OLD = re.compile("[" + "".join(map(chr, _SIMPLE)) + "]")
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")  # marks over letters
+_FAR = re.compile("[\u0591-\u1aaf\u1b00-\u1dbf\ua640-\uabff\U00010000-\U0001efff]")  # scripts with marks of their own
 _NOTE = re.compile(r"\[\s*\d+\s*\]|【[^】]{0,12}】")
 _WORDS = re.compile(r"[㐀-䶿一-鿿]|(?:(?![㐀-䶿一-鿿])[^\W_])+")
 
@@ -56,7 +58,11 @@ def words(text: str | None) -> str:
         return ""
     t = _NOTE.sub(" ", consistent(text)).casefold()
     if not t.isascii():
-        t = _MARKS.sub("", unicodedata.normalize("NFD", t)).translate(_SIMPLE)
+        t = _MARKS.sub("", unicodedata.normalize("NFD", t))
+        if _FAR.search(t):
+            t = "".join(c for c in t if not unicodedata.combining(c))
+        if _OLD.search(t):
+            t = t.translate(_SIMPLE)
     return " ".join(_WORDS.findall(t))
 
 
