@@ -241,3 +241,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_jsonl(spark, str(tmp_path / "out"), readers.KB).count() == 2
     writers.write_csv(kb, str(tmp_path / "csv"), ["entity_id", "name"])
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["entity_id", "name"]
+
+
+def test_a_stream_of_documents_equals_the_batch(spark, tmp_path):
+    from kgloom.streaming import micro_batch
+    for k, rows in enumerate(([(1, "Alan Smith met ACME. John Doe too."), (2, None)], [(3, "阿兰·图尔，见 John Doe。"), (4, "")])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run goes on from the checkpoint and adds nothing
+        micro_batch.run_to_table(micro_batch.stream_mentions(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    batch = extract.pattern_mentions(X.sentences(spark.read.parquet(str(tmp_path / "in")), "doc_id"), "doc_id")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.select("doc_id", "label", "name").collect())) and batch.count() >= 4
