@@ -6,7 +6,7 @@ punctuation do not count. A record is the set of its word n-grams (``WORDS`` wor
 df being the evaluation records that hold it and q the record's own ``QUANTILE`` of df, so phrases far more common
 than the rest of a record count little. Containment of a record in another is the weighted share of its grams there.
 Two records are the same if each contains ``SAME`` of the other: a typing error breaks five grams, so 0.8 would miss
-almost-same records; on the test tables no pair lies between 0.32 and 0.41.
+almost-same records; on the larger check input no pair lies between 0.31 and 0.42.
 
 Evaluation grams are counted in a sketch of fixed size, which is broadcast (``SKETCH`` bytes, whatever the data) and gives df. Then
 training and evaluation records are scanned; of each only a prefix is sent on: its grams in the order of (df, hash) until what
