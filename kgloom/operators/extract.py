@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions import text as X
-from kgloom.operators import titles
+from kgloom.operators import dictionary, titles
 from kgloom.packs import rules as R
 
 # Patterns of names
@@ -70,23 +70,16 @@ def own_names(docs: DataFrame, kb: DataFrame, key: str) -> DataFrame:
     return c.join(known, ["name", "label"], "left_anti").select(key, "name", "label", "o")
 
 
-def dict_extract(texts: DataFrame, lexicon: DataFrame, key: str, anchor: int = 3, stride: int = 1024) -> DataFrame:
+def dict_extract(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """(key, start, end, label, text): all, also overlapping, occurrences of every lexicon name in every text.
 
-    Texts are cut into pieces of ``stride`` characters that reach over into the next by the longest name's length (one number). Every place gives a row of
-    its first ``anchor`` characters; those that open some name (semi-join on the lexicon's distinct beginnings) meet the names, and the few pairs left are verified against their piece.
-    Work and shuffle grow with the text, not with its square, names may have any length; names shorter than the anchor meet on their own length.
+    A sketch of fixed size holds the names and their beginnings; texts are looked through beside it, where they lie, and what may be a name is joined with the names.
+    Nothing is shuffled per place, names may have any length and share any beginnings; what the sketch lets through by chance drops in the join.
     """
-    lex = lexicon.where("length(name) >= 2").select("name", "label").distinct().withColumn("n", F.least(F.length("name"), F.lit(anchor))).withColumn("a", F.expr("substring(name, 1, n)"))
-    longest = lex.agg(F.max(F.length("name"))).first()[0] or 0  # one number
+    lex = lexicon.where("length(name) >= 2").select("name", "label").distinct()
     t = texts.where("length(text) >= 2").select(key, "text").distinct()
-    pieces = t.select(key, F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(stride))).alias("at"), "text").select(key, "at", F.expr(f"substring(text, at + 1, {stride + longest})").alias("piece"))
-    here = F.transform(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(stride))), lambda i: F.struct(i.alias("i"), F.substring(F.col("piece"), i, F.lit(anchor)).alias("b")))
-    at = pieces.select(key, "at", F.explode(here).alias("p")).select(key, "at", "p.i", F.explode(F.array_distinct(F.transform(F.array([F.lit(k) for k in range(2, anchor + 1)]), lambda k: F.substring(F.col("p.b"), F.lit(1), k)))).alias("a")).where("length(a) >= 2")
-    opening = at.join(lex.select("a").distinct(), "a", "left_semi").join(lex.select("a", "name", "label"), "a").select(key, "at", "i", "name", "label")
-    hit = opening.join(pieces, [key, "at"]).where(F.substring(F.col("piece"), F.col("i"), F.length("name")) == F.col("name"))
-    start = F.col("at") + F.col("i") - 1
-    return hit.select(key, start.cast("int").alias("start"), (start + F.length("name")).cast("int").alias("end"), "label", F.col("name").alias("text"))
+    hit = dictionary.places(t, lex.select("name"), key).join(lex.select(F.col("name").alias("text"), "label"), "text")
+    return hit.select(key, "start", (F.col("start") + F.length("text")).alias("end"), "label", "text")
 
 
 def own_extract(docs: DataFrame, names: DataFrame, key: str) -> DataFrame:

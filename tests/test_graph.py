@@ -105,6 +105,20 @@ def test_dict_extract_long_names_and_texts(spark):
     assert got == want
 
 
+def test_dict_extract_moves_no_rows_per_place(spark):
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("伯特莱姆德 ") for _ in range(k))
+    names = {("罗伯特·" + word(rng.randint(1, 6))).strip() for _ in range(400)} | {"罗伯", "特·", "罗伯特·伯特伯特" * 9, "\U0001f600b", "x"}
+    lex = spark.createDataFrame([(n, k) for n in names for k in ("PER", "ORG")[:1 + len(n) % 2]], "name string, label string")
+    texts = [(i, "".join(rng.choice(sorted(names)) + word(3) for _ in range(30))) for i in range(20)] + [(1, "罗伯特·伯罗"), (21, "罗"), (22, ""), (23, None), (24, "b\U0001f600b罗伯特·")]
+    out = extract.dict_extract(spark.createDataFrame(texts * 2, "k int, text string"), lex, "k")
+    want = [(k, i, i + len(n), lab, n) for k, t in set(texts) if t for n in names if len(n) > 1 for lab in ("PER", "ORG")[:1 + len(n) % 2] for i in range(len(t)) if t.startswith(n, i)]
+    assert sorted(map(tuple, out.select("k", "start", "end", "label", "text").collect())) == sorted(want) and len(want) > 1000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan  # no row for each place of a text
+    assert extract.dict_extract(spark.createDataFrame(texts, "k int, text string"), lex.where("false"), "k").count() == 0
+
+
 def test_titles(spark):
     d = spark.createDataFrame([(1, "他发表《计算理论》（英语：Theory of Computing Machines）和“该书”，题为On Numbers of Kings and The Great Machine Test。"), (2, None)], "doc_id int, text string")
     t = d.select(titles.sentence_titles(F.col("text")).alias("t")).first().t
