@@ -119,6 +119,15 @@ def test_dict_extract_moves_no_rows_per_place(spark):
     assert extract.dict_extract(spark.createDataFrame(texts, "k int, text string"), lex.where("false"), "k").count() == 0
 
 
+@pytest.mark.parametrize("name", ["error_breakdown"])
+def test_span_queries_move_no_rows_per_place(spark, tmp_path, name):
+    from kgloom.plans.graph_queries import QUERIES
+    spark.createDataFrame([("A", "Rob Smith", ["R. Smith", "Rob"], "PER"), ("B", "East Hill", None, "LOC")], "entity_id string, name string, aliases array<string>, type string").write.parquet(str(tmp_path / "kb.parquet"))
+    spark.createDataFrame([(1, "Rob Smith saw East Hill. Rob", [(0, 3, "PER"), (14, 23, "LOC")]), (2, None, None)], "sample_id long, text string, entities array<struct<start:int,end:int,label:string>>").write.parquet(str(tmp_path / "ner_train.parquet"))
+    out = QUERIES[name](spark, str(tmp_path))
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count()
+
+
 def test_titles(spark):
     d = spark.createDataFrame([(1, "他发表《计算理论》（英语：Theory of Computing Machines）和“该书”，题为On Numbers of Kings and The Great Machine Test。"), (2, None)], "doc_id int, text string")
     t = d.select(titles.sentence_titles(F.col("text")).alias("t")).first().t
