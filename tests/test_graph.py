@@ -119,7 +119,7 @@ def test_dict_extract_moves_no_rows_per_place(spark):
     assert extract.dict_extract(spark.createDataFrame(texts, "k int, text string"), lex.where("false"), "k").count() == 0
 
 
-@pytest.mark.parametrize("name", ["error_breakdown", "missed_spurious", "ner_prf_micro", "merge_spans", "ner_prf"])
+@pytest.mark.parametrize("name", ["error_breakdown", "missed_spurious", "ner_prf_micro", "merge_spans", "ner_prf", "overlap_detect"])
 def test_span_queries_move_no_rows_per_place(spark, tmp_path, name):
     from kgloom.plans.graph_queries import QUERIES
     spark.createDataFrame([("A", "Rob Smith", ["R. Smith", "Rob"], "PER"), ("B", "East Hill", None, "LOC")], "entity_id string, name string, aliases array<string>, type string").write.parquet(str(tmp_path / "kb.parquet"))
