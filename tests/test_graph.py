@@ -256,6 +256,15 @@ def test_classifier_and_tagger_on_held_out_records(spark):
     assert m["PER"] > 0.9 and m["LOC"] > 0.9
 
 
+def test_classifier_is_fitted_on_all_rows(spark):
+    span = "struct<start:int,end:int,label:string>"
+    ids = [r.id for r in spark.range(4100).orderBy(F.xxhash64("id"), "id").collect()]
+    rare = set(ids[4000:])  # beyond what a bounded sample in hash order held
+    rows = spark.createDataFrame([(i, ("甲谢乙" if i in rare else "甲见乙" if i % 2 else "甲识乙") + "子丑寅卯"[i % 4], (0, 1, "PER"), (2, 3, "PER"), "RARE" if i in rare else "AB"[i % 2]) for i in ids], f"sample_id long, text string, head {span}, tail {span}, label string")
+    p = learn.relation_classifier(rows, rows).groupBy("gold", "pred").count().collect()
+    assert {(r.gold, r.pred) for r in p} == {("RARE", "RARE"), ("A", "A"), ("B", "B")} and sum(r["count"] for r in p) == 4100
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "kb.jsonl").write_text('{"entity_id": "E", "name": "n", "aliases": ["a"], "type": "PER", "description": "d"}\n\n{"entity_id": "F"}\n', encoding="utf-8")
     kb = readers.read_jsonl(spark, str(tmp_path / "kb.jsonl"), readers.KB)
