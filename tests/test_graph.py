@@ -265,6 +265,19 @@ def test_classifier_is_fitted_on_all_rows(spark):
     assert {(r.gold, r.pred) for r in p} == {("RARE", "RARE"), ("A", "A"), ("B", "B")} and sum(r["count"] for r in p) == 4100
 
 
+def test_scores_in_batches_equal_the_pipeline(spark):
+    rng = random.Random(5)
+    span = "struct<start:int,end:int,label:string>"
+    word = lambda n: "".join(rng.choice("aé学·𝒳😀Z ") for _ in range(n))
+    rows = spark.createDataFrame([(i, word(2) + "见识"[i % 2] + word(rng.randint(1, 40)), (0, 1, "PER"), (2, 3, "PER"), "AB"[i % 2]) for i in range(60)], f"sample_id long, text string, head {span}, tail {span}, label string")
+    model = learn.fit_relations(rows)
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(["", "a", "é学", None] + [word(rng.randint(1, 80)) for _ in range(40)])], "i int, t string")
+    want = learn._predicted(model, t.where("t IS NOT NULL").withColumn("grams", learn._grams())).select("i", "pred", "score").collect()
+    got = {r.i: (r.pred, r.score) for r in learn.predict(t, model, "t").collect()}
+    assert got[3][0] == "NO_REL" and len(got) == 44
+    assert all(got[r.i][0] == r.pred and abs(got[r.i][1] - r.score) < 2e-6 for r in want) and len(want) == 43
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "kb.jsonl").write_text('{"entity_id": "E", "name": "n", "aliases": ["a"], "type": "PER", "description": "d"}\n\n{"entity_id": "F"}\n', encoding="utf-8")
     kb = readers.read_jsonl(spark, str(tmp_path / "kb.jsonl"), readers.KB)
