@@ -196,6 +196,43 @@ def test_candidates_against_a_loop(spark, monkeypatch):
     assert one == {(r.q, r.rank): (r.entity_id, round(r.sim, 4)) for r in link.candidates(q, kb, 5).collect()} and len(one) == 5 * q.count()
 
 
+def test_candidates_in_uncoalesced_partitions(spark, monkeypatch):
+    monkeypatch.setattr(link, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(link, "RECORD_BLOCK", 9)
+    kb = link.kb_rows(spark.createDataFrame([(f"E{i:02}", f"name {i * i}", None, "PER") for i in range(30)], "entity_id string, name string, aliases array<string>, type string"))
+    q = spark.createDataFrame([(f"name {i * i}",) for i in range(30)], "q string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = link.candidates(q, kb, 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.q, r.entity_id) for r in got if r["rank"] == 1} == {(f"name {i * i}", f"E{i:02}") for i in range(30)} and len(got) == 60
+
+
+@pytest.mark.parametrize("common", [0.02, -1.0, 1.0])
+def test_pruned_candidates_equal_all_pairs(spark, monkeypatch, common):
+    import inspect
+    import numpy as np
+    import pyarrow as pa
+    assert "pa.Table" in str(inspect.signature(link._best_of_block(3)))  # numbers of a block, no row of text for each gram
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(link, "COMMON", common)
+    records, asked = [], []
+    for out, count in ((records, 500), (asked, 80)):
+        for _ in range(count):
+            codes = sorted({int(x) for x in np.minimum(rng.zipf(1.3, rng.integers(0, 14)), 400)} | ({1, 2, 3} if count == 500 else set()))
+            w = rng.random(len(codes)) + 0.01
+            out.append((codes, (w / np.sqrt((w * w).sum())).tolist() if len(codes) else []))
+    table = lambda rows, name: pa.table({name: [f"{name}{k:03}" for k in range(len(rows))], "codes": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "ws": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+    got = link._best_of_block(3)(table(asked, "q"), table(records, "entity_id")).to_pylist()
+    want = []
+    for k, (c, w) in enumerate(asked):
+        own = dict(zip(c, w))
+        sims = [(round(sum(own.get(g, 0.0) * x for g, x in zip(rc, rw)), 6), f"entity_id{i:03}") for i, (rc, rw) in enumerate(records)]
+        want += [(f"q{k:03}", e, s) for s, e in sorted(sims, reverse=True)[:3]]
+    assert [(r["q"], r["entity_id"]) for r in got] == [x[:2] for x in want] and all(abs(r["sim"] - x[2]) < 2e-6 for r, x in zip(got, want))
+
+
 def test_grouped_entities(spark):
     docs = spark.createDataFrame([("d", "头\n甲乙，丙。\n尾\n甲，。")], "source_file string, text string")
     m = spark.createDataFrame([(1, "d", "甲", "PER", 2, 3, " e1", "甲乙", "甲乙", 0.5, "ner"), (2, "d", "甲", "PER", 10, 11, "E1", "甲乙", "甲乙", 0.7, "ner"), (3, "d", "丙", "LOC", 5, 6, None, None, "丙", 0.1, "ner"), (4, "d", "乙", "LOC", 3, 4, "NIL", None, "乙", 0.1, "kb_dict"), (1, "d", "甲", "PER", 2, 3, " e1", "甲乙", "甲乙", 0.5, "ner")],
