@@ -16,6 +16,7 @@ EN_PERSON = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"
 EN_BEFORE_HAN = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}(?=[一-鿿])"
 EN_NAME = r"\b[A-Z][A-Za-z]+(?:[ .'\-][A-Z][A-Za-z]+){1,5}\b"
 ACRONYM = r"\b[A-Z][A-Z0-9&.\-]{1,15}\b"
+TITLE_WORDS = [x.strip() for x in R.TITLE_STARTS]  # each match of titles.ENGLISH_TITLE opens with one
 IN_QUOTES = '[《"“]([^》"”]{2,80})[》"”]'
 EN_CUE = r"(?:英语：|英文：)([A-Z][A-Za-z0-9 ,.'\-&:]{2,160})"
 PATTERNS = {"PER": r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}", "ZH": ZH_PERSON, "ACR": r"[A-Z][A-Z0-9&.\-]{1,15}"}
@@ -47,25 +48,25 @@ def own_names(docs: DataFrame, kb: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     cand = "struct<term:string,label:string,l:string,r:string>"
 
-    def found(pattern: str, group: int, label: str | None, n: int, test=None, term=lambda g: g) -> Column:
+    def found(pattern: str, group: int, label: str | None, n: int, test=None, term=lambda g: g, holds=None) -> Column:
         def one(m: Column) -> Column:
             left, right = _around(text, m, n) if n else (F.lit(""), F.lit(""))
             t = term(m["got"])
             return F.struct(t.alias("term"), F.lit(label).cast("string").alias("label"), left.alias("l"), right.alias("r"))
-        hits = X.matches(text, pattern, group)
+        hits = X.matches(text, pattern, group, holds)
         return F.transform(F.filter(hits, test) if test else hits, one)
     bare = lambda g: F.regexp_replace(F.regexp_replace(X.strip(F.split(g, "[）)。，；\n]")[0]), r"\[\d+\]", ""), r"^[ ,?;:()\[\]]+|[ ,?;:()\[\]]+$", "")
     title = lambda g: F.regexp_replace(F.regexp_replace(g, r"\[\d+\]", ""), r"^[ ,?;:()\[\]]+|[ ,?;:()\[\]]+$", "")
     ends = []
     for e in R.ORG_ENDS:
         window = lambda m: F.substring(text, F.greatest(m["pos"] + len(e) - 20, F.lit(0)) + 1, m["pos"] + len(e) - F.greatest(m["pos"] + len(e) - 20, F.lit(0)))  # noqa: E731, B023
-        ends.append(F.transform(X.matches(text, e), lambda m: F.struct(F.regexp_extract(window(m), r"[一-鿿A-Za-z&.\-]+$", 0).alias("term"), F.lit("ORG").alias("label"), F.lit("").alias("l"), F.lit("").alias("r"))))  # noqa: B023
-    every = [found(IN_QUOTES, 1, "PROD", 12), found(EN_CUE, 1, None, 8, term=bare), found(titles.ENGLISH_TITLE, 0, "PROD", 0, term=title), found(ZH_PERSON, 0, "PER", 0),
+        ends.append(F.transform(X.matches(text, e, holds=[e]), lambda m: F.struct(F.regexp_extract(window(m), r"[一-鿿A-Za-z&.\-]+$", 0).alias("term"), F.lit("ORG").alias("label"), F.lit("").alias("l"), F.lit("").alias("r"))))  # noqa: B023
+    every = [found(IN_QUOTES, 1, "PROD", 12, holds=list('《"“')), found(EN_CUE, 1, None, 8, term=bare, holds=["英语：", "英文："]), found(titles.ENGLISH_TITLE, 0, "PROD", 0, term=title, holds=TITLE_WORDS), found(ZH_PERSON, 0, "PER", 0, holds=["·"]),
              found(EN_NAME, 0, "PER", 12, lambda m: ~X.any_start(m["whole"], R.TITLE_STARTS)), found(ACRONYM, 0, None, 12), *ends]
     c = docs.where("length(text) > 0").select(key, "text").distinct().select(key, F.explode(F.array_distinct(F.concat(*[F.transform(x.cast(f"array<{cand}>"), lambda v: F.struct(v.alias("v"), F.lit(k).alias("o"))) for k, x in enumerate(every)]))).alias("c"))  # noqa: B023
-    c = c.select(key, X.normal_term(F.col("c.v.term")).alias("name"), F.col("c.v.label").alias("label"), "c.v.l", "c.v.r", "c.o").where("name <> ''").distinct()
+    c = c.select(key, X.once_a_row(X.normal_term(F.col("c.v.term"))).alias("name"), F.col("c.v.label").alias("label"), "c.v.l", "c.v.r", "c.o").where("name <> ''").distinct()
     known = kb_lexicon(kb)
-    c = c.join(known.groupBy("name").agg(F.min("label").alias("held")), "name", "left").withColumn("label", F.coalesce("held", "label", X.infer_label(F.col("name"), F.col("l"), F.col("r"))))
+    c = c.join(known.groupBy("name").agg(F.min("label").alias("held")), "name", "left").withColumn("label", X.once_a_row(F.coalesce("held", "label", X.infer_label(F.col("name"), F.col("l"), F.col("r")))))
     c = c.where(F.col("label").isNotNull() & X.plausible(F.col("name"), F.col("label"))).groupBy(key, "name", "label").agg(F.min("o").alias("o"))
     return c.join(known, ["name", "label"], "left_anti").select(key, "name", "label", "o")
 
@@ -98,10 +99,11 @@ def regex_extract(docs: DataFrame, key: str) -> DataFrame:
     def org(m: Column) -> Column:
         ok = lambda n: ((n == m["whole"]) | (F.length(n) + 2 >= F.length(m["whole"]))) & X.plausible(n, F.lit("ORG"))
         return ~X.any_in(m["whole"], R.ORG_NOISE) & X.once(X.normal_term(m["whole"]), ok)
-    families = [("PER", ZH_PERSON, None), ("PROD", titles.ENGLISH_TITLE, None), ("PER", EN_PERSON, no_role), ("PER", EN_BEFORE_HAN, no_role), ("ORG", "[一-鿿A-Za-z&]{2,18}(?:" + "|".join(R.ORG_PATTERN_ENDS) + ")", org), ("LOC", "|".join(R.PLACE_PATTERN), None)]
+    families = [("PER", ZH_PERSON, None, ["·"]), ("PROD", titles.ENGLISH_TITLE, None, TITLE_WORDS), ("PER", EN_PERSON, no_role, None), ("PER", EN_BEFORE_HAN, no_role, None),
+                ("ORG", "[一-鿿A-Za-z&]{2,18}(?:" + "|".join(R.ORG_PATTERN_ENDS) + ")", org, R.ORG_PATTERN_ENDS), ("LOC", "|".join(R.PLACE_PATTERN), None, R.PLACE_PATTERN)]
     out = []
-    for label, pattern, test in families:
-        hits = X.matches(text, pattern)
+    for label, pattern, test, holds in families:
+        hits = X.matches(text, pattern, holds=holds)
         shown = lambda m: X.strip(F.regexp_replace(m["whole"], r"\[\d+\]", "")) if label == "PROD" else m["whole"]  # noqa: E731, B023
         out.append(F.transform(F.filter(hits, test) if test else hits, lambda m: F.struct(m["pos"].alias("start"), (m["pos"] + F.length(m["whole"])).alias("end"), F.lit(label).alias("label"), shown(m).alias("text"))))  # noqa: B023
     d = docs.where("length(text) > 0").select(key, "text").distinct().select(key, F.explode(F.array_distinct(F.concat(*out))).alias("h"))

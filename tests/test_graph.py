@@ -47,6 +47,17 @@ def test_running_starts_and_occurrences(spark):
     assert n == [sum(k % 7 for k in range(i)) for i in range(200)]
 
 
+def test_matches_cut_a_text_once(spark):
+    d = spark.createDataFrame([("甲大学·a b",), ("",), (None,), ("ab",)], "t string")
+    m = d.select(X.matches(F.col("t"), "大学|·", holds=["大学", "·"]).alias("m"), X.matches(F.col("t"), "大学|·").alias("n"))
+    assert [(r.m, r.n) for r in m.collect()] == [([(1, "大学", "大学"), (3, "·", "·")],) * 2, ([], []), (None, None), ([], [])]
+    assert d.select(X.matches(F.col("t"), "大学|·").alias("m"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    blanks = [" \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000", "\u200b\ufeff\x1c甲 "]
+    s = spark.createDataFrame([(b, x + b + y) for b in blanks for x in ("", " 甲\n", "\x85") for y in ("", "乙", "\n\r")], "b string, t string")
+    for r in s.select("t", X.strip(F.col("t")).alias("s"), F.regexp_replace("t", f"^[{R.BLANKS}]+|[{R.BLANKS}]+$", "").alias("want")).collect():
+        assert r.s == r.want
+
+
 def test_section_offsets_against_a_loop(spark):
     texts = ["标题一\n正文，在此。\n第二行，也是。\n标题二\n\n另一段，。", "只有标题", "没有标题的长长的一行文字，有标点。", "", None, "标题\n 前有空格，。\n\n后来，。"]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
