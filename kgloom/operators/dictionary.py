@@ -1,6 +1,7 @@
 """Places of dictionary names in texts: a sketch of fixed size tells which places may hold a name; only those are joined with the names."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,10 +88,10 @@ def sketch(names: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def places(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """(key, start, text): every stretch of (key, text) that may be one of the names (one column); all that are one are among them, and few others."""
     sc = texts.sparkSession.sparkContext
-    held = sc.broadcast(sketch(names))
+    held = sc.broadcast([zlib.compress(x.tobytes(), 1) for x in sketch(names)])  # each machine keeps a file of it; most bits are not set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opening, whole = held.value
+        opening, whole = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in held.value)
         for b in batches:
             lengths = np.cumsum(b.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
             lo = 0

@@ -77,8 +77,13 @@ def dict_extract(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     A sketch of fixed size holds the names and their beginnings; texts are looked through beside it, where they lie, and what may be a name is joined with the names.
     Nothing is shuffled per place, names may have any length and share any beginnings; what the sketch lets through by chance drops in the join.
     """
+    return dict_hits(texts.select(key, "text").distinct(), lexicon, key)
+
+
+def dict_hits(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """What dict_extract gives, for each row of ``texts``: texts stay where they lie, a repeated text repeats its occurrences."""
     lex = lexicon.where("length(name) >= 2").select("name", "label").distinct()
-    t = texts.where("length(text) >= 2").select(key, "text").distinct()
+    t = texts.where("length(text) >= 2")
     hit = dictionary.places(t, lex.select("name"), key).join(lex.select(F.col("name").alias("text"), "label"), "text")
     return hit.select(key, "start", (F.col("start") + F.length("text")).alias("end"), "label", "text")
 

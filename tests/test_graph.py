@@ -1,5 +1,6 @@
 """Documents to graphs on small fixtures: every operator against what a plain loop or a reader would give."""
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,22 @@ def test_span_queries_move_no_rows_per_place(spark, tmp_path, name):
     assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count()
 
 
+SPAN_QUERIES = ["error_breakdown"]
+
+
+@pytest.mark.parametrize("name", SPAN_QUERIES)
+def test_span_queries_leave_texts_where_they_lie(spark, tmp_path, name):
+    from kgloom.plans.graph_queries import ORACLES, QUERIES
+    from tests.compare import compare
+    spark.createDataFrame([("A", "Rob Smith", ["R. Smith", "Rob"], "PER"), ("B", "East Hill", None, "LOC"), ("C", "Hill", ["Rob"], None), ("D", "East Hill", None, "ORG")], "entity_id string, name string, aliases array<string>, type string").write.parquet(str(tmp_path / "kb.parquet"))
+    rows = [(1, "Rob Smith saw East Hill. Rob", [(0, 3, "PER"), (14, 23, "LOC"), (14, 23, "PER"), (19, 23, None)]), (2, None, None), (3, "Rob", None), (4, "Rob and Rob", [(0, 5, "PER")]), (4, "Rob or East Hill", [(7, 16, "LOC")]), (5, "no name", [(0, 2, "LOC")]), (6, "", [])]
+    spark.createDataFrame(rows + rows[:1], "sample_id long, text string, entities array<struct<start:int,end:int,label:string>>").write.parquet(str(tmp_path / "ner_train.parquet"))
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[\w+#\w+, (text|whole)#", plan) and plan.count("MapInArrow run(") == 1  # no shuffle of texts, one search
+    if name in ORACLES:
+        assert compare(spark, str(tmp_path), name, QUERIES[name], ORACLES[name]) is None
+
+
 def test_titles(spark):
     d = spark.createDataFrame([(1, "他发表《计算理论》（英语：Theory of Computing Machines）和“该书”，题为On Numbers of Kings and The Great Machine Test。"), (2, None)], "doc_id int, text string")
     t = d.select(titles.sentence_titles(F.col("text")).alias("t")).first().t
