@@ -138,9 +138,9 @@ def merge_spans(spans: DataFrame, key: str) -> DataFrame:
 
     Spans are taken by (start, end, turn, label), or highest priority first where no ``turn`` is given; a repeat of (start, end, label) drops; a span overlapping kept ones replaces them
     only if its rank (prio, plausible, min(length, 24)) beats every one of them. Overlap islands bound each
-    fold, so no text is folded as a whole. Kept spans never overlap.
+    fold, so no text is folded as a whole. Kept spans never overlap. Spans move once, before they are ranked.
     """
-    s = spans.withColumn("rank", F.struct(F.col("prio"), X.plausible(F.col("text"), F.col("label")).cast("int"), F.least(F.col("end") - F.col("start"), F.lit(24))))
+    s = spans.repartition(key).withColumn("rank", F.struct(F.col("prio"), X.plausible(F.col("text"), F.col("label")).cast("int"), F.least(F.col("end") - F.col("start"), F.lit(24))))
     w = Window.partitionBy(key).orderBy("start", "end", F.col("turn") if "turn" in spans.columns else F.desc("prio"), "label", "text")
     s = s.withColumn("o", F.row_number().over(w)).withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("island", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
