@@ -140,7 +140,7 @@ def test_span_queries_move_no_rows_per_place(spark, tmp_path, name):
     assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count()
 
 
-SPAN_QUERIES = ["error_breakdown", "missed_spurious", "ner_prf_micro", "merge_spans", "ner_prf"]
+SPAN_QUERIES = ["error_breakdown", "missed_spurious", "ner_prf_micro", "merge_spans", "ner_prf", "overlap_detect"]
 
 
 @pytest.mark.parametrize("name", SPAN_QUERIES)
