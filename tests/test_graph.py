@@ -213,6 +213,54 @@ def test_linker_against_difflib(spark):
     assert abs(s[0] - SequenceMatcher(None, "Rob Smiths", "Rob Smith").ratio()) < 1e-9
 
 
+def test_linker_makes_no_row_per_gram_and_equals_a_loop(spark, monkeypatch):
+    from collections import Counter
+    from difflib import SequenceMatcher
+    from math import log, sqrt
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcd 山é\U0001f600") for _ in range(k)).strip() or "ab"
+    base = [(f"E{i:02}", word(6), [word(4)] if i % 3 else None, "PER", word(20) if i % 4 else None) for i in range(40)]
+    docs = [(f"d{i % 9}", (word(90) + "  " + base[i][1]) if i != 5 else None) for i in range(12)]  # three files have two texts
+    ms = [(k, rng.choice(base)[1] if k % 2 else word(5), "X", f"d{k % 11}" if k % 13 else None) for k in range(60)]
+    kb = spark.createDataFrame(base, "entity_id string, name string, aliases array<string>, type string, description string")
+    asked = spark.createDataFrame(ms + ms[:3], "mention_id long, mention string, entity_type string, source_file string")
+    texts = spark.createDataFrame(docs, "source_file string, text string")
+    monkeypatch.setattr(link, "grams", None)  # neither names nor documents become a row per gram
+    runs = []
+    for q, m, r, c, chars in ((32768, 196608, 50000, 200000, 1 << 18), (9, 17, 13, 11, 100)):
+        for k, v in (("QUERY_BLOCK", q), ("MENTION_BLOCK", m), ("RECORD_BLOCK", r), ("CONTEXT_BLOCK", c), ("CHARS", chars)):
+            monkeypatch.setattr(link, k, v)
+        runs.append({x.mention_id: x.link_score for x in link.link_mentions(asked, texts, kb).collect()})
+    assert runs[0] == runs[1] and len(runs[0]) == 60
+
+    def counted(t, n):
+        t = re.sub(r"\s\s+", " ", t.lower())
+        return Counter(t[i:i + k] for k in range(1, n + 1) for i in range(len(t) - k + 1))
+
+    def space(rows, n):
+        g = {e: counted(t, n) for e, t in rows.items() if t}
+        df = Counter(x for c in g.values() for x in c)
+        idf = {x: log((1 + len(g)) / (1 + v)) + 1 for x, v in df.items()}
+
+        def vector(c):
+            w = {x: k * idf[x] for x, k in c.items() if x in idf}
+            norm = sqrt(sum(v * v for v in w.values()))
+            return {x: v / norm for x, v in w.items()}
+        return {e: vector(c) for e, c in g.items()}, vector
+    cos = lambda a, b: round(sum(v * b.get(x, 0.0) for x, v in a.items()), 6)
+    names = {e: [n, *(a or [])] for e, n, a, _, _ in base}
+    by_name, name = space({e: " ".join(v) for e, v in names.items()}, 3)
+    by_text, text = space({e: n + (" " + d if d else "") for e, n, _, _, d in base}, 2)
+    whole = {f: text(sum((counted(t, 2) for g, t in docs if g == f and t), Counter())) for f, _ in docs}
+    for k, q, _, f in ms:
+        if f is None:
+            assert runs[0][k] == 0
+            continue
+        best = sorted(((cos(name(counted(q, 3)), v), e) for e, v in by_name.items()), reverse=True)[:5]
+        want = max(0.65 * max(1.0 if q == b else SequenceMatcher(None, q, b).ratio() for b in names[e]) + 0.35 * cos(whole.get(f, {}), by_text[e]) for _, e in best)
+        assert abs(runs[0][k] - want) < 3e-6, (k, q, f)
+
+
 def test_candidates_against_a_loop(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcde ") for _ in range(rng.randint(1, 9)))
